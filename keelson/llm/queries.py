@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontamination, frames, quality, secrets, shards
+from keelson.llm import bpe, decontamination, frames, ngram_join, quality, repeats, secrets, shards
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,10 +26,18 @@ def op1_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_shards(written, folder)
 
 
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), SECRET_VOCABULARY, PATTERN, keep=["doc_id"])
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), rule=ngram_join.JoinRule(n=4, percent=85))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sorted_shards,
+        op2_repeat_removal,
         op3_secret_scan,
+        op4_ngram_jaccard,
         op7_decontamination,
         op9_prefix_bpe,
         op10_quality_rules,
