@@ -1,15 +1,61 @@
-"""A corpus pipeline of five operators: STAGES in order, run() for all of them."""
+"""A corpus pipeline of five operators: STAGES in order, run() for all of them.
+
+Each stage takes and returns the columns of documents; the last adds the token ids and drops the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.llm import bpe, decontamination, frames, ngram_join, quality, queries, secrets
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the least doc_id. Five words, 0.8."""
+    groups = ngram_join.linked(docs, rule=ngram_join.JoinRule(n=5, percent=80))
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return joined.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontamination.decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and n_chars following."""
+    return secrets.masked(docs, queries.SECRET_VOCABULARY, queries.PATTERN)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts, with the other columns."""
+    out = bpe.encoded(docs, queries.BYTE_VOCABULARY, queries.PATTERN).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return out.drop("text")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("encoding", encoding_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = frames.settled(docs, "stage")
     return docs

@@ -96,13 +96,17 @@ def sized(batches: Iterator[pa.RecordBatch], text: str, target: int) -> Iterator
 
 def word_spans(data: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end bytes of every word, and the n + 1 offsets of each document's words."""
-    inside = letters[data]
-    before = np.zeros(len(data), bool)
+    return spans_inside(letters[data], offs)
+
+
+def spans_inside(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans(), given which bytes belong to words."""
+    before = np.zeros(len(inside), bool)
     before[1:] = inside[:-1]
     edges = offs[:-1][np.diff(offs) > 0]
     before[edges] = False
     starts = np.flatnonzero(inside & ~before)
-    after = np.zeros(len(data), bool)
+    after = np.zeros(len(inside), bool)
     after[:-1] = inside[1:]
     last = edges[1:] - 1
     after[last] = False
