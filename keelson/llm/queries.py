@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontamination, frames, language, ngram_join, quality, repeats, secrets, shards
+from keelson.llm import bpe, decontamination, frames, language, lm, ngram_join, quality, repeats, secrets, shards
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +38,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), rule=ngram_join.JoinRule(n=4, percent=85))
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", frames.bucket_of("doc_id", 3) == 1)
     model = language.fit(docs.where("not held_out"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_repeat_removal,
         op3_secret_scan,
         op4_ngram_jaccard,
+        op5_log_bilinear,
         op6_language_id,
         op7_decontamination,
         op9_prefix_bpe,
