@@ -37,8 +37,8 @@ class ModelShape:
     words: int = 40
     endings: int = 22
     size: int = 24
-    steps: int = 3000
-    batch: int = 2048
+    steps: int = 1200
+    batch: int = 1024
     noise: int = 10
     seed: int = 7
 
@@ -224,17 +224,12 @@ def train(codes: np.ndarray, counts: np.ndarray, size: int, shape: ModelShape) -
         w = np.concatenate([own[t][:, None], false], 1)
         r1, r2 = p["r"][one[t]], p["r"][two[t]]
         context = r1 @ p["c1"] + r2 @ p["c2"]
-        q = p["q"][w]
-        logit = np.einsum("bkd,bd->bk", q, context) + p["b"][w] - np.log(shape.noise * noise[w])
+        logit = np.take_along_axis(context @ p["q"].T + p["b"], w, 1) - np.log(shape.noise * noise[w])
         error = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         error[:, 0] -= 1
-        error /= shape.batch
-        gq, gb = np.zeros_like(p["q"]), np.bincount(w.ravel(), error.ravel(), size)
-        pull = error[:, :, None] * context[:, None, :]
-        flat = w.ravel()
-        for k in range(d):
-            gq[:, k] = np.bincount(flat, pull[:, :, k].ravel(), size)
-        gc = np.einsum("bk,bkd->bd", error, q)
+        # errors by example and class: both gradients are then matrix products
+        by = np.bincount((np.arange(shape.batch)[:, None] * size + w).ravel(), error.ravel() / shape.batch, shape.batch * size).reshape(shape.batch, size)
+        gq, gb, gc = by.T @ context, by.sum(0), by @ p["q"]
         g1, g2 = gc @ p["c1"].T, gc @ p["c2"].T
         gr = np.zeros_like(p["r"])
         np.add.at(gr, one[t], g1)
