@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontamination, frames, language, lm, ngram_join, quality, repeats, secrets, shards
+from keelson.llm import bpe, decontamination, frames, language, licenses, lm, ngram_join, quality, repeats, secrets, shards
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,6 +53,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_VOCABULARY, PATTERN, keep=["doc_id"])
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_log_bilinear,
         op6_language_id,
         op7_decontamination,
+        op8_license_scan,
         op9_prefix_bpe,
         op10_quality_rules,
     )
