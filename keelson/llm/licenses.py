@@ -44,7 +44,7 @@ FIELDS = {"n_licenses": "long", "licenses": "string", "best_coverage": "double",
 @dataclass(frozen=True)
 class ScanRule:
     """gram: words hashed together. window: of grams, one of each kept in the index. band: how far an
-    alignment may leave its diagonal. coverage: the least matched share of a template's words."""
+    alignment may leave its diagonal, a quarter of the template's words at most. coverage: the least matched share of a template's words."""
 
     gram: int = 3
     window: int = 3
@@ -122,7 +122,8 @@ def scan(table: pa.Table, text: str, index: Index, rule: ScanRule) -> list[list[
         for shift in sorted(set(shifts)):
             if shift <= reach:
                 continue
-            count, first, last = align(template, own, shift, rule.band)
+            band = min(rule.band, max(1, len(template) // 4))  # short templates may follow each other closely
+            count, first, last = align(template, own, shift, band)
             share = count / len(template)
             if share >= rule.coverage:
                 if chars is None:
@@ -130,7 +131,7 @@ def scan(table: pa.Table, text: str, index: Index, rule: ScanRule) -> list[list[
                 base = chars[offs[d]]
                 a, b = words[d] + first, words[d] + last
                 out[d].append((index.names[t], int(chars[starts[a]] - base), int(chars[ends[b]] - base), share))
-                reach = shift + rule.band
+                reach = shift + band
     # of one template's finds that overlap, the one with more matched, then the first, stays
     for d, finds in enumerate(out):
         if len(finds) > 1:
