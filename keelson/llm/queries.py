@@ -50,7 +50,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "hit_spans")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORD = r"[^\x20\x09-\x0D]+"
+_ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _again(n: int) -> str:
+    """Whether the n-word window that starts at a word occurs twice in its document."""
+    return f"i + {n - 1} <= n AND count(*) OVER (PARTITION BY doc_id, i + {n - 1} <= n, hash(words[i : i + {n - 1}])) > 1"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE_WORD}') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, words[i : i + 3] AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT w.doc_id, count(k) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, e.b FROM reach JOIN edges e ON e.a = reach.r)
+SELECT n.doc_id, n_shingles, min(r) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY 1, 2""",
+    "op7_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM_WORD}') AS words FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM_WORD}') AS words FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(words), 13) AS n, words[i : i + 12] AS k FROM (SELECT *, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, i, words[i : i + n - 1] AS k FROM (SELECT d.*, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, sizes WHERE len(words) >= n)),
+hits AS (SELECT doc_id, i, iw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.k = iw.k),
+n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_SPACE_WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE_WORD}')) AS lines FROM d),
+p AS (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) + 1)) AS i FROM w),
+f AS (SELECT doc_id, words, n, i, {_again(5)} AS a5, {_again(8)} AS a8 FROM p),
+g AS (SELECT doc_id, bool_or(a) AS far FROM (SELECT doc_id, {_again(101)} AS a FROM f WHERE a8) GROUP BY 1),
+c AS (SELECT doc_id, max(a5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5, max(a8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8 FROM f),
+s AS (SELECT doc_id, count_if(c5) AS r5, count_if(c8) AS r8 FROM c GROUP BY 1),
+o AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(r5, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(r8, 0) AS BIGINT) AS n_covered_words, coalesce(far, false) AS far FROM w LEFT JOIN s USING (doc_id) LEFT JOIN g USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, base_failed,
+ NOT (base_failed OR 100 * n_covered_words > 15 * n_words OR far) AS kept FROM v""",
+}
