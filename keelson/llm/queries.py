@@ -86,9 +86,13 @@ _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 _ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _gram(n: int) -> str:
+    """A hash of the n words from each word on, null where fewer are left."""
+    return f"CASE WHEN i + {n - 1} <= n THEN hash(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) END AS h{n}"
+
+
 def _again(n: int) -> str:
-    """Whether the n-word window that starts at a word occurs twice in its document."""
-    return f"i + {n - 1} <= n AND count(*) OVER (PARTITION BY doc_id, i + {n - 1} <= n, hash(words[i : i + {n - 1}])) > 1"
+    return f"h{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h{n}) > 1 AS a{n}"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,9 +120,10 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op10_quality_rules": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_SPACE_WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE_WORD}')) AS lines FROM d),
-p AS (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) + 1)) AS i FROM w),
-f AS (SELECT doc_id, words, n, i, {_again(5)} AS a5, {_again(8)} AS a8 FROM p),
-g AS (SELECT doc_id, bool_or(a) AS far FROM (SELECT doc_id, {_again(101)} AS a FROM f WHERE a8) GROUP BY 1),
+p AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+h AS (SELECT doc_id, i, {_gram(5)}, {_gram(8)}, {_gram(101)} FROM p),
+f AS (SELECT doc_id, i, {_again(5)}, {_again(8)}, {_again(101)} FROM h),
+g AS (SELECT doc_id, bool_or(a101) AS far FROM f GROUP BY 1),
 c AS (SELECT doc_id, max(a5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5, max(a8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8 FROM f),
 s AS (SELECT doc_id, count_if(c5) AS r5, count_if(c8) AS r8 FROM c GROUP BY 1),
 o AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
