@@ -100,9 +100,24 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends here and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # finished jobs' shuffle files go once the JVM notices
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, marked for broadcast if a count says that it has `rows` rows at most; for narrow settled tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def slices(spark: SparkSession) -> int:
     """How many parts a shuffle has by the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

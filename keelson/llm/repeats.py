@@ -33,17 +33,19 @@ _PIECE = 8 << 20  # window starts handled at once in very long texts
 @dataclass(frozen=True)
 class RepeatRule:
     """length: bytes of a repeated string. gram: bytes hashed to choose anchors. bucket_bytes: text
-    for one transform, about. crowded: regions of a hash from which each window is dealt out by itself,
-    so that even a passage that most documents hold makes no large group."""
+    for one transform, about. crowded: regions of a hash from which they are split into parts of `part`
+    windows, each dealt out by the bytes that its windows have in common, so that near copies make no
+    large group; from a hundred times as many on, each window is a part, and equal ones are one text."""
 
     length: int = 200
     gram: int = 64
-    bucket_bytes: int = 3 << 20
-    crowded: int = 50_000
+    bucket_bytes: int = 1 << 20
+    crowded: int = 2_000
+    part: int = 16
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, rule: RepeatRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Regions: anchor hash, document, and first and last window start (places in data)."""
+    """Regions: anchor hash, document, first and last window start and anchor (places in data)."""
     parts = []
     for low in range(0, max(len(data), 1), _PIECE):
         high = min(low + _PIECE, len(data))
@@ -54,7 +56,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, rule: RepeatRule) -> tuple[np.nd
 def _anchors(data: np.ndarray, low: int, high: int, offs: np.ndarray, rule: RepeatRule) -> tuple:
     none = np.zeros(0, np.int64)
     if len(data) < rule.length:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none
     at = np.arange(len(data) - rule.gram + 1)
     hashes = textvec.span_hashes(data, at, at + rule.gram)
     least = (hashes & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
@@ -71,12 +73,12 @@ def _anchors(data: np.ndarray, low: int, high: int, offs: np.ndarray, rule: Repe
     anchor = (least[: len(starts)] & np.uint64((1 << 24) - 1)).astype(np.int64)
     starts, doc, anchor = starts[ok], doc[ok], anchor[ok]
     if not len(starts):
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return hashes[anchor[first]], doc[first], starts[first] + low, starts[last] + low
+    return hashes[anchor[first]], doc[first], starts[first] + low, starts[last] + low, anchor[first] + low
 
 
 class Transform:
@@ -87,15 +89,15 @@ class Transform:
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         n = len(raw)
-        symbols = raw.astype(np.int64) + 1
+        symbols = raw.astype(np.int16) + 1
         symbols[self.starts + lengths] = 0
         used = np.unique(symbols)
-        dense = np.zeros(258, np.int64)
+        dense = np.zeros(258, np.int16)
         dense[used] = np.arange(len(used)) + (used[0] != 0)
         self.symbols = symbols = dense[symbols]
         self.order = self._sorted(symbols, int(len(used)) + 1, int(lengths.max(initial=0)) + 1)
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
         self.before = symbols[self.order - 1]  # of each row; the texts' ends keep rows of different texts apart
         self.up = place[self.order - 1]  # the row of the suffix one symbol longer
         self.closed = len(texts)
@@ -107,18 +109,20 @@ class Transform:
         key = np.zeros(n, np.int64)
         ended = np.zeros(n, bool)
         for k in range(reach):
-            own = np.zeros(n, np.int64)
+            own = np.zeros(n, np.int16)
             own[: max(n - k, 0)] = symbols[k:]
             own[ended] = 0
             ended |= own == 0
-            key = (key << bits) | own
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        held, places = key[order], np.arange(n)
+            key <<= bits
+            key |= own
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        rank = np.empty(n, np.int32)
+        held, places = key[order], np.arange(n, dtype=np.int32)
+        del key, ended, own
         who = order
         # distance to the text's end: a suffix that has ended needs no look further on
         ends = np.flatnonzero(symbols == 0)
-        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+        left = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)
         while True:
             new = np.ones(len(held), bool)
             new[1:] = (held[1:] != held[:-1]) | (places[1:] != places[:-1] + 1)
@@ -131,17 +135,20 @@ class Transform:
             same = (by[1:] == by[:-1]) & (left[order[1:]] >= reach)
             tied[1:] |= same
             tied[:-1] |= same
-            places = np.flatnonzero(tied)
+            places = np.flatnonzero(tied).astype(np.int32)
             if not len(places):
                 break
             who = order[places]
-            held = (rank[who] << 32) | rank[np.minimum(who + reach, n - 1)]
+            held = rank[who].astype(np.int64) << 32
+            held |= rank[np.minimum(who + reach, n - 1)]
             by = np.argsort(held, kind="stable")
             who, held = who[by], held[by]
             order[places] = who
             reach *= 2
         # what is still tied has ended alike; the texts' order decides
-        return order[np.lexsort((order, rank[order]))]
+        by = rank[order].astype(np.int64) << 32
+        by |= order
+        return order[np.argsort(by, kind="stable")]
 
     def repeated(self, length: int) -> np.ndarray:
         """For each place of the joined texts, whether its `length` symbols start at another place too."""
@@ -210,10 +217,22 @@ def repeated_windows(texts: list[bytes], weights: list[int], length: int) -> lis
 def _regions(docs: DataFrame, rule: RepeatRule) -> DataFrame:
     def make(table: pa.Table) -> Iterator[list]:
         data, offs = textvec.buffers(table.column("text"))
-        hashes, doc, first, last = anchors(data, offs, rule)
-        yield [hashes, table.column("key").combine_chunks().take(pa.array(doc)), (first - offs[doc]).astype(np.int32), (last - first + 1).astype(np.int32)]
+        hashes, doc, first, last, anchor = anchors(data, offs, rule)
+        yield [hashes, table.column("key").combine_chunks().take(pa.array(doc)), (first - offs[doc]).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32)]
 
-    return frames.explode(docs, "text", {"hash": "long", "key": "binary", "start": "int", "windows": "int"}, make)
+    return frames.explode(docs, "text", {"hash": "long", "key": "binary", "start": "int", "windows": "int", "ahead": "int"}, make)
+
+
+def parts_of(windows: int, ahead: int, width: int) -> list[tuple[int, int, int]]:
+    """A region's windows in parts (first, last, anchor's distance from the last): windows whose distance to
+    the anchor has the same multiple of width are in one part, so that equal windows are in like parts."""
+    out, first = [], 0
+    while first < windows:
+        least = (ahead - first) // width * width
+        last = min(ahead - least, windows - 1)
+        out.append((first, last, least))
+        first = last + 1
+    return out
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, rule: RepeatRule) -> DataFrame:
@@ -223,19 +242,25 @@ def _texts(docs: DataFrame, wanted: DataFrame, rule: RepeatRule) -> DataFrame:
     def make(table: pa.Table) -> Iterator[list]:
         data, offs = textvec.buffers(table.column("text"))
         raw = data.tobytes()
-        keys, starts, hashes, regions, texts = [], [], [], [], []
+        keys, starts, hashes, regions, texts, seen = [], [], [], [], [], set()
         for d, (key, items) in enumerate(zip(table.column("key").to_pylist(), table.column("regions").to_pylist(), strict=True)):
             for item in items:
                 begin, windows, own = int(offs[d]) + item["start"], item["windows"], item["hash"]
-                alone = item["crowd"] >= rule.crowded
-                for k in range(windows) if alone else (0,):
-                    part = raw[begin + k : begin + (k + rule.length if alone else windows + rule.length - 1)]
-                    digest = hashlib.md5(part).digest()
+                crowded = item["crowd"] >= rule.crowded
+                width = 1 if item["crowd"] >= 100 * rule.crowded else rule.part
+                for first, last, least in parts_of(windows, item["ahead"], width) if crowded else ((0, windows - 1, 0),):
+                    if crowded:  # what every window of such a part holds, wherever the region begins and ends
+                        core = begin + item["ahead"] - least
+                        digest = hashlib.md5(raw[core : core + rule.length - width + 1] + least.to_bytes(4, "little")).digest()
+                        own = int.from_bytes(digest[:8], "little", signed=True)
+                    part = raw[begin + first : begin + last + rule.length]
+                    digest = hashlib.md5(part + own.to_bytes(8, "little", signed=True)).digest()
                     keys.append(key)
-                    starts.append(item["start"] + k)
-                    hashes.append(int.from_bytes(digest[:8], "little", signed=True) if alone else own)
+                    starts.append(item["start"] + first)
+                    hashes.append(own)
                     regions.append(digest)
-                    texts.append(part)
+                    texts.append(None if digest in seen else part)  # once a stretch of documents is enough
+                    seen.add(digest)
         yield [pa.array(keys, pa.binary()), np.array(starts, np.int32), np.array(hashes, np.int64), pa.array(regions, pa.binary()), pa.array(texts, pa.binary())]
 
     return frames.explode(joined, "text", {"key": "binary", "start": "int", "hash": "long", "region": "binary", "text": "binary"}, make)
@@ -246,11 +271,12 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
     spans being packed int32 pairs of first and last window start, in no order."""
     found = frames.settled(_regions(docs, rule), "anchors")
     again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    wanted = found.join(again, "hash").distinct().groupBy("key").agg(F.collect_list(F.struct("hash", "start", "windows", "crowd")).alias("regions"))
+    wanted = found.join(again, "hash").distinct().groupBy("key").agg(F.collect_list(F.struct("hash", "start", "windows", "ahead", "crowd")).alias("regions"))
     texts = frames.settled(_texts(docs, wanted, rule), "regions")
-    distinct = texts.groupBy("hash", "region").agg(F.count(F.lit(1)).alias("weight"), F.first("text").alias("text"))
+    frames.discard(found)
+    distinct = texts.groupBy("hash", "region").agg(F.count(F.lit(1)).alias("weight"), F.max("text").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // rule.bucket_bytes))
+    n = max(frames.slices(docs.sparkSession), -(-total // (4 * rule.bucket_bytes)))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by hash; a transform takes whole hashes until it has text enough
@@ -262,16 +288,32 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
             some = [i for i, s in enumerate(spans) if len(s)]
             return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some], pa.binary()), pa.array([spans[i].tobytes() for i in some], pa.binary())], names=["region", "spans"])
 
+        alone: list[tuple] = []  # texts that no other shares a hash with: their weight decides
+        group: list[tuple] = []
+
+        def close() -> None:
+            nonlocal size
+            if len(group) > 1:
+                held.extend(group)
+                size += sum(len(t) for _, t, _ in group)
+            elif group and group[0][2] > 1:
+                alone.append((group[0][0], np.array([0, len(group[0][1]) - rule.length], np.int32).tobytes()))
+            group.clear()
+
         for batch in batches:
             for h, region, weight, text in zip(*(batch.column(c).to_pylist() for c in ("hash", "region", "weight", "text")), strict=True):
-                if size >= rule.bucket_bytes and h != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append((region, text, weight))
-                size += len(text)
+                if h != last:
+                    close()
+                    if size >= rule.bucket_bytes:
+                        yield flush()
+                        held, size = [], 0
+                group.append((region, text, weight))
                 last = h
+        close()
         if held:
             yield flush()
+        if alone:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in alone], pa.binary()), pa.array([x for _, x in alone], pa.binary())], names=["region", "spans"])
 
     solved = distinct.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(solve, "region binary, spans binary")
     solved = frames.settled(solved, "solved")

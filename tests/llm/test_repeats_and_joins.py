@@ -43,7 +43,7 @@ def removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("rule", [R.RepeatRule(), R.RepeatRule(crowded=3), R.RepeatRule(length=40, gram=10, bucket_bytes=2000)])
+@pytest.mark.parametrize("rule", [R.RepeatRule(), R.RepeatRule(crowded=3), R.RepeatRule(length=40, gram=10, bucket_bytes=2000), R.RepeatRule(length=40, gram=10, crowded=2, part=4), R.RepeatRule(length=30, gram=9, crowded=0)])
 def test_removal_against_brute_force(docs, rows, rule):
     got = [tuple(r) for r in R.removal_digests(docs, rule=rule).collect()]
     assert sorted(got, key=repr) == sorted(removed(rows, rule.length), key=repr)
@@ -56,7 +56,7 @@ def test_very_long_texts_are_cut_in_pieces_without_loss(monkeypatch):
     rule = R.RepeatRule(length=50, gram=10)
 
     def windows(parts):
-        return [(int(h), int(d), s) for h, d, a, b in zip(*parts, strict=True) for s in range(a, b + 1)]
+        return [(int(h), int(d), s) for h, d, a, b, _ in zip(*parts, strict=True) for s in range(a, b + 1)]
 
     whole = windows(R.anchors(data, offs, rule))
     monkeypatch.setattr(R, "_PIECE", 700)
