@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,9 @@ from keelson.llm.textvec import sized
 #: Bytes of text that one vectorised call works on; some 20 to 60 times as much memory is used meanwhile.
 CHUNK_BYTES = 2 << 20
 
+#: Where spark.checkpoint.dir is unset, as in tests on one machine.
+UNSHARED = f"file://{tempfile.gettempdir()}/keelson-checkpoints"
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
@@ -88,11 +92,8 @@ def bucket_of(doc_id: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; set for tests where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/keelson-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or UNSHARED
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
