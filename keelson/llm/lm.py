@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from keelson.llm import frames, textvec
 
 FIELDS = {"n_tokens": "long", "lbl": "double", "own_words": "double", "in_class": "double"}
-STRETCH_BYTES = 16 << 20  # text from which a task makes one set of blocks
-BUCKET_BYTES = 64 << 20  # text for each bucket of hashes
+STRETCH_BYTES = 12 << 20  # text from which a task makes one set of blocks
+BUCKET_BYTES = 16 << 20  # text for each bucket of hashes
 
 
 @dataclass(frozen=True)
@@ -84,8 +84,9 @@ def _blocks(docs: DataFrame, buckets: int, shape: ModelShape) -> DataFrame:
             keys = b"".join(k for h in held for k in h[0])
             hashes, kinds = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             doc, train = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-            bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
-            order = np.lexsort((doc, hashes, bucket))
+            held.clear()
+            order = np.argsort(hashes, kind="stable")  # a bucket is a range of hashes; documents stay in order
+            bucket = (hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
             hashes, kinds, doc, bucket = hashes[order], kinds[order], doc[order], bucket[order]
             new_word = np.ones(len(hashes), bool)
             new_word[1:] = hashes[1:] != hashes[:-1]
