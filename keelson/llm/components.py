@@ -1,23 +1,60 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is one grouped minimum and one join, both partially aggregated or splittable; no component is
-ever gathered in one task. Every round is written to the shared folder, so lineage stays short.
+Edges are first contracted within partitions, where a union-find over one partition's edges turns them
+to stars. Each step is one grouped minimum and one join, both partially aggregated or splittable; no
+component is ever gathered in one task. Every round is written to the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import frames
 
+_HELD = 1 << 19  # edges that one union-find takes
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of a partition's edges, some hundred thousand edges at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        u = np.concatenate([b.column(0).to_numpy() for b in held])
+        v = np.concatenate([b.column(1).to_numpy() for b in held])
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(names))
+        while True:
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            for side in (a, b):
+                np.minimum.at(root, root[side], low)
+                np.minimum.at(root, side, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        far = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= _HELD:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if large:
-        near = both
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    near = both if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = near.join(least, "u")
     if large:
@@ -33,14 +70,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Loops, repeated edges and edges with a null end say nothing and may occur; nodes without any other
     edge are left out. No edges give no rows.
     """
-    edges = frames.settled(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    own = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    edges = frames.settled(own.distinct().mapInArrow(_contracted, "u long, v long"), "edges")
     for _ in range(rounds):
-        edges = frames.settled(_star(_star(edges, True), False), "edges")
-        # at the fixed point each node has one edge, to its component's least node
-        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row == state:
+        # stars whose leaves have one centre each, and whose centres are no leaves, are whole components
+        leaves = edges.select("u").distinct()
+        open_ends = edges.groupBy("u").count().where("count > 1").select("u").unionByName(edges.select(F.col("v").alias("u")).distinct().join(leaves, "u", "left_semi"))
+        if open_ends.isEmpty():
             break
-        state = row
+        edges = frames.settled(_star(_star(edges, True), False), "edges")
     least = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)

@@ -162,6 +162,41 @@ def signatures(sets: np.ndarray, offs: np.ndarray, known: np.ndarray, df: np.nda
     return out, shares
 
 
+CELLS = 256
+
+
+def sketches(sets: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """How many members of each set fall in each of 256 cells of their hashes, a byte each. The sum of two
+    sets' lesser counts bounds their intersection from above. Empty where a count needs more than a byte."""
+    docs = len(offs) - 1
+    counts = np.bincount(textvec.owner(offs) * CELLS + (sets >> np.uint64(40) & np.uint64(CELLS - 1)).astype(np.int64), minlength=docs * CELLS).reshape(docs, CELLS)
+    fits = counts.max(1, initial=0) < 256
+    raw = counts.astype(np.uint8)
+    return [raw[d].tobytes() if fits[d] else b"" for d in range(docs)]
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, rule: JoinRule) -> DataFrame:
+    """The pairs whose sketches leave room for a link."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            total = batch.column("p").to_numpy() + batch.column("q").to_numpy()
+            keep = np.ones(len(x), bool)
+            both = np.array([len(a) == CELLS and len(b) == CELLS for a, b in zip(x, y, strict=True)], bool)
+            at = np.flatnonzero(both)
+            if len(at):
+                a = np.frombuffer(b"".join(x[i] for i in at), np.uint8).reshape(-1, CELLS)
+                b = np.frombuffer(b"".join(y[i] for i in at), np.uint8).reshape(-1, CELLS)
+                common = np.minimum(a, b).sum(1, dtype=np.int64)
+                keep[at] = 100 * common >= rule.percent * (total[at] - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("p"))
+    right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("q"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(compare, "a long, b long")
+
+
 def _lists(values: list[np.ndarray], dtype, kind) -> pa.Array:
     offs = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, dtype)
@@ -169,7 +204,7 @@ def _lists(values: list[np.ndarray], dtype, kind) -> pa.Array:
 
 
 def nodes(docs: DataFrame, doc_id: str, text: str, rule: JoinRule) -> DataFrame:
-    """(doc_id, node, n_shingles, sigs, salts) for each document; written to the shared folder."""
+    """(doc_id, node, n_shingles, sketch, sigs, salts) for each document; written to the shared folder."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known, df = listed(docs, "text", rule)
     total = docs.count()
@@ -181,16 +216,16 @@ def nodes(docs: DataFrame, doc_id: str, text: str, rule: JoinRule) -> DataFrame:
         ids = set_ids(sets, offs)
         sigs, shares = signatures(sets, offs, *sent.value, hot, rule)
         salts = [(np.uint64(i) % (s // rule.salted + 1).astype(np.uint64)).astype(np.int32) for i, s in zip(ids, shares, strict=True)]
-        return [ids, np.diff(offs), _lists(sigs, np.int64, pa.int64()), _lists(salts, np.int32, pa.int32())]
+        return [ids, np.diff(offs), pa.array(sketches(sets, offs), pa.binary()), _lists(sigs, np.int64, pa.int64()), _lists(salts, np.int32, pa.int32())]
 
-    fields = {"node": "long", "n_shingles": "long", "sigs": "array<long>", "salts": "array<int>"}
+    fields = {"node": "long", "n_shingles": "long", "sketch": "binary", "sigs": "array<long>", "salts": "array<int>"}
     return frames.settled(frames.append(docs, "text", fields, make, keep=["doc_id"]), "nodes")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: JoinRule) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    """Of pairs (a, b), those whose sets are similar."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(ends, "node", "left_semi").select(F.col("doc_id"), F.col("node"))
+    wanted = frames.small(frames.settled(reps.select("doc_id", "node").join(ends, "node", "left_semi"), "wanted"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
 
     def make(table: pa.Table) -> list:
@@ -198,7 +233,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: JoinRule
         return [set_ids(sets, offs), frames.packed(sets, np.diff(offs))]
 
     # a repeated doc_id may bring another text, which has another node
-    sets = frames.append(texts, "text", {"own": "long", "members": "binary"}, make, keep=["node"]).where("own = node").dropDuplicates(["node"]).select("node", "members")
+    sets = frames.append(texts, "text", {"own": "long", "members": "binary"}, make, keep=["node"]).where("own = node").select("node", "members")
     sets = frames.settled(sets, "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
 
@@ -213,7 +248,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: JoinRule
                 keep.append(100 * common >= rule.percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _pairs(rows: DataFrame, by: list[str], rule: JoinRule) -> DataFrame:
@@ -235,17 +270,16 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Jo
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = nodes(docs, doc_id, text, rule)
-    spark = docs.sparkSession
     filled = every.where("n_shingles > 0")
-    reps = frames.settled(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sigs").alias("sigs"), F.first("salts").alias("salts")), "reps")
-    rows = reps.where("size(sigs) > 0").select("node", "n", F.explode(F.arrays_zip("sigs", "salts")).alias("s")).select(F.col("s.sigs").alias("sig"), F.col("s.salts").alias("salt"), "node", "n")
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig")
-    rows = frames.settled(rows.join(shared, "sig", "left_semi"), "signatures")
+    reps = frames.settled(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "reps")
+    rows = filled.where("size(sigs) > 0").select("node", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("sigs", "salts")).alias("s")).select(F.col("s.sigs").alias("sig"), F.col("s.salts").alias("salt"), "node", "n")
+    shared = rows.groupBy("sig").agg((F.min("node") != F.max("node")).alias("shared")).where("shared").select("sig")
+    rows = frames.settled(rows.join(shared, "sig", "left_semi").distinct(), "signatures")
 
-    tried = frames.settled(_pairs(rows, ["sig", "salt"], rule), "pairs")
+    tried = frames.settled(_possible(_pairs(rows, ["sig", "salt"], rule), reps, rule), "possible")
     links = frames.settled(_verified(tried, own, reps, rule), "links")
+    named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     for last in (False, True):
-        named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         joined = rows.join(named, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
         split = joined.groupBy("sig").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("sig")
         joined = joined.join(split, "sig", "left_semi")
@@ -255,11 +289,15 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Jo
             more = x.join(y, "sig").where("node < p and component <> other").where((100 * F.least("n", "m") >= rule.percent * F.greatest("n", "m"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
         else:
             more = _pairs(joined.groupBy("sig", "component").agg(F.min(F.struct("n", "node")).alias("s")).select("sig", "s.n", "s.node"), ["sig"], rule)
-        more = frames.settled(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = frames.settled(links.unionByName(_verified(more, own, reps, rule)), "links")
-            tried = tried.unionByName(more)
-    named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        more = frames.settled(_possible(more.join(tried, ["a", "b"], "left_anti"), reps, rule), "possible")
+        if more.isEmpty():
+            continue
+        fresh = frames.settled(_verified(more, own, reps, rule), "links")
+        tried = tried.unionByName(more)
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    frames.discard(rows)
     label = reps.select("node", "doc_id").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "component").select("node", "component_id")
