@@ -197,6 +197,39 @@ def _possible(pairs: DataFrame, reps: DataFrame, rule: JoinRule) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(compare, "a long, b long")
 
 
+_ROWS = 32_768  # nodes that one is compared with at once
+
+
+def _across(rows: DataFrame, rule: JoinRule) -> DataFrame:
+    """Pairs of nodes that share a signature, lie in different components, and whose sizes and sketches
+    leave room for a link. Rows: (sig, node, n, component, sketch). Within a group each node is compared with those
+    of sizes that can still be similar; only possible pairs leave the task."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        n, node, component = n[order], table.column("node").to_numpy()[order], table.column("component").to_numpy()[order]
+        raw = [table.column("sketch")[int(i)].as_py() for i in order]
+        known = np.array([len(x) == CELLS for x in raw], bool)
+        cells = np.frombuffer(b"".join(x if len(x) == CELLS else bytes(CELLS) for x in raw), np.uint8).reshape(-1, CELLS)
+        left, right = [], []
+        reach = np.searchsorted(n * rule.percent, 100 * n, "right")  # the first node too large for each
+        for k in range(len(n)):
+            others = np.arange(k + 1, reach[k])
+            others = others[component[others] != component[k]]
+            for begin in range(0, len(others), _ROWS):
+                at = others[begin : begin + _ROWS]
+                common = np.minimum(cells[at], cells[k]).sum(1, dtype=np.int32)
+                ok = (100 * common >= rule.percent * (n[at] + n[k] - common)) | ~known[at] | ~known[k]
+                left.append(np.full(int(ok.sum()), node[k]))
+                right.append(node[at[ok]])
+        a = np.concatenate(left) if left else node[:0]
+        b = np.concatenate(right) if right else node[:0]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("sig").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _lists(values: list[np.ndarray], dtype, kind) -> pa.Array:
     offs = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, dtype)
@@ -284,12 +317,11 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Jo
         split = joined.groupBy("sig").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("sig")
         joined = joined.join(split, "sig", "left_semi")
         if last:
-            # whatever still shares a signature across components: every such pair
-            x, y = joined, joined.select("sig", F.col("node").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
-            more = x.join(y, "sig").where("node < p and component <> other").where((100 * F.least("n", "m") >= rule.percent * F.greatest("n", "m"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+            more = _across(joined.join(reps.select("node", "sketch"), "node"), rule)
         else:
             more = _pairs(joined.groupBy("sig", "component").agg(F.min(F.struct("n", "node")).alias("s")).select("sig", "s.n", "s.node"), ["sig"], rule)
-        more = frames.settled(_possible(more.join(tried, ["a", "b"], "left_anti"), reps, rule), "possible")
+            more = _possible(more, reps, rule)
+        more = frames.settled(more.join(tried, ["a", "b"], "left_anti"), "possible")
         if more.isEmpty():
             continue
         fresh = frames.settled(_verified(more, own, reps, rule), "links")
