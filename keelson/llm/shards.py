@@ -188,16 +188,26 @@ class ShardReader:
         return out
 
 
-#: The vocabulary's own rule for parts of a lower-case word of ASCII characters.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words whose lower case, normal form and parts follow from single characters: ASCII and common Latin letters.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+")
+#: The vocabulary's own rule for parts of such a word in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ſ]+")
 _CACHED = 500_000
 
 
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character where that is printable and no
+    space, and the others, in order, as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 class WordEncoder:
     """Whole texts through a `tokenizers` file whose rules never join characters across white space.
 
-    Each distinct word goes to the library once: words of ASCII letters to its model, all others
-    through its full encode().
+    Each distinct word goes to the library once: runs of Latin letters to its model, all else through
+    its full encode().
     """
 
     def __init__(self, path: str):
@@ -209,7 +219,7 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.words: dict[str, bytes] = {}
-        self.spaces = re.compile(r"[\x20\x09-\x0D]+")
+        self.characters = byte_characters()
 
     def ids(self, values: list[int]) -> bytes:
         return struct.pack(f"<{len(values)}{self.code}", *values)
@@ -220,18 +230,27 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         known = self.words.get(part)
         if known is None:
-            known = self.words[part] = self.ids([t.id for t in self.model.tokenize(part)]) if part.isalpha() else self._full(part)
+            if part.isalpha():
+                own = part if part.isascii() else part.encode().decode("latin-1").translate(self.characters)
+                known = self.ids([t.id for t in self.model.tokenize(own)])
+            else:
+                known = self._full(part)
+            self.words[part] = known
         return known
 
     def word(self, word: str) -> bytes:
-        out = b"".join([self._part(p) for p in _PARTS.findall(word.lower())]) if word.isascii() and word.isprintable() else self._full(word)
+        out = b"".join([self._part(p) for p in _PARTS.findall(word.lower())]) if _PLAIN.fullmatch(word) else self._full(word)
         if len(word) <= 64:
             self.words[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
         get, make = self.words.get, self.word
-        out = b"".join([get(w) or make(w) for w in self.spaces.sub(" ", text).split(" ") if w])
+        # characters 28 to 31 are white space to split() but not to the vocabulary
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        out = b"".join([get(w) or make(w) for w in (re.split(r"[\x20\x09-\x0D]+", text) if odd else text.split()) if w])
         if len(self.words) > _CACHED:
             self.words.clear()
         return out
