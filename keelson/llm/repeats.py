@@ -272,8 +272,10 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
     found = frames.settled(_regions(docs, rule), "anchors")
     again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     wanted = found.join(again, "hash").distinct().groupBy("key").agg(F.collect_list(F.struct("hash", "start", "windows", "ahead", "crowd")).alias("regions"))
-    texts = frames.settled(_texts(docs, wanted, rule), "regions")
+    wanted = frames.settled(wanted, "wanted")
     frames.discard(found)
+    texts = frames.settled(_texts(docs, wanted, rule), "regions")
+    frames.discard(wanted)
     distinct = texts.groupBy("hash", "region").agg(F.count(F.lit(1)).alias("weight"), F.max("text").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(frames.slices(docs.sparkSession), -(-total // (4 * rule.bucket_bytes)))
@@ -317,7 +319,10 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
 
     solved = distinct.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(solve, "region binary, spans binary")
     solved = frames.settled(solved, "solved")
-    return texts.select("key", "start", "region").distinct().join(solved, "region").groupBy("key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    spans = texts.select("key", "start", "region").distinct().join(solved, "region").groupBy("key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    spans = frames.settled(spans, "spans")
+    frames.discard(texts, solved)
+    return spans
 
 
 def _removed(table: pa.Table, length: int) -> list:
