@@ -135,14 +135,14 @@ def signatures(sets: np.ndarray, offs: np.ndarray, known: np.ndarray, df: np.nda
     for d in range(len(offs) - 1):
         own, n = keys[offs[d] : offs[d + 1]], int(offs[d + 1] - offs[d])
         lost = n - -(-rule.percent * n // 100)
-        if lost < 1:  # only an equal set is similar
+        if n < 2 and (not n or rule.percent > 50):  # only an equal set is similar; a larger set may lose nothing to a superset
             out.append(own[:0])
             shares.append(share[:0])
             continue
         order = np.argsort(own)
         own, near = own[order], share[offs[d] : offs[d + 1]][order]
         sigs, weights = [], []
-        if n <= rule.paired:
+        if n <= rule.paired and rule.percent > 50:  # then pairs outlast what may be lost
             single = int(np.searchsorted(own, np.uint64(2) << _CLASS_SHIFT))
             take = min(single, lost + 1)
             sigs.append(textvec.mix64(own[:take]))
@@ -154,7 +154,7 @@ def signatures(sets: np.ndarray, offs: np.ndarray, known: np.ndarray, df: np.nda
                 with np.errstate(over="ignore"):
                     sigs.append(textvec.mix64(textvec.mix64(pair[a]) + np.uint64(3) * textvec.mix64(pair[b])))
                 weights.append(np.minimum(near[single : single + c][a], near[single : single + c][b]))
-        if 100 * n >= rule.percent * rule.paired:
+        if 100 * n >= rule.percent * rule.paired or rule.percent <= 50:
             sigs.append(textvec.mix64(own[: lost + 1] ^ np.uint64(0xB5297A4D)))
             weights.append(near[: lost + 1])
         out.append(np.concatenate(sigs))
