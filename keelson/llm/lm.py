@@ -1,10 +1,10 @@
 """Language-model scoring: unigram counts of all words, and a log-bilinear model of word classes.
 
 The model gives a word's class from the two classes before it, and the word within its class from its
-count. Frequent words are classes of their own; all others share a class by their ending. Class
-trigrams are counted over all training text; from them the log-bilinear model is trained in numpy by
-noise-contrastive estimation. Batched matrix products then give normalised log probabilities for
-every context.
+count. Frequent words are classes of their own, the more of them the more training text there is; all
+others share a class by their ending. The log-bilinear model is trained in numpy by noise-contrastive
+estimation, from every trigram of the training text: slices of it change copies of the model, which are
+averaged. Batched matrix products then give normalised log probabilities for every context.
 
 Counts of words meet documents without shuffling words one by one: a task turns its stretch of text
 into distinct words with sparse lists of documents, dealt out by the word's hash in packed blocks. Where
@@ -13,6 +13,8 @@ a hash's blocks meet, counts are summed and each document's share is sent back.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +29,16 @@ from keelson.llm import frames, textvec
 FIELDS = {"n_tokens": "long", "lbl": "double", "own_words": "double", "in_class": "double"}
 STRETCH_BYTES = 12 << 20  # text from which a task makes one set of blocks
 BUCKET_BYTES = 16 << 20  # text for each bucket of hashes
+SLICE_BYTES = 16 << 20  # least training text that changes a copy of the model
+ROUNDS = 3  # in which copies are averaged
+RATE = 0.1
+HEAVY = 8  # a trigram seen more often than this counts in several steps
 
 
 @dataclass(frozen=True)
 class ModelShape:
-    """words: frequent words with a class each. endings: classes of the others. size: of the vectors.
-    steps, batch, noise: of the training; seed makes it repeatable."""
+    """words: the least number of frequent words with a class each. endings: classes of the others. size: of
+    the vectors. steps, batch: at least so much training; noise: of it; seed makes it repeatable."""
 
     words: int = 40
     endings: int = 22
@@ -124,9 +130,15 @@ def _blocks(docs: DataFrame, buckets: int, shape: ModelShape) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, stretch long, kind int, payload binary")
 
 
-def _met(table: pa.Table, shape: ModelShape) -> pa.Table:
+def least_count(size: int) -> int:
+    """Training occurrences from which a word is a class, for so many bytes of training text: their root by 8, so
+    that classes grow about as the root of the text."""
+    return max(10, math.isqrt(size) // 8)
+
+
+def _met(table: pa.Table, shape: ModelShape, least: int) -> pa.Table:
     """What a bucket gives: kind 0 keys as they came, kind 1 documents' shares of a stretch, kind 2 the
-    bucket's most frequent words, training tokens, and distinct words by ending."""
+    bucket's most frequent words and all that occur `least` times, and training tokens and distinct words by ending."""
     rows = table.to_pylist()
     blocks = [(r["stretch"], _split(r["payload"], "<u8", "<u4", "u1", "<u4", "<u4", "<u4")) for r in rows if r["kind"] == 1]
     out = [(0, r["stretch"], r["payload"]) for r in rows if r["kind"] == 0]
@@ -145,9 +157,10 @@ def _met(table: pa.Table, shape: ModelShape) -> pa.Table:
             share = np.bincount(near, gain[which] * often, len(some))
             known = np.bincount(near, (counts[which] > 0) * often.astype(np.float64), len(some))
             out.append((1, stretch, _join(some, share, known.astype(np.uint32))))
-        top = np.lexsort((vocabulary, -counts))[: shape.words]
+        top = np.lexsort((vocabulary, -counts))[: max(shape.words, int((counts >= least).sum()))]
         distinct = np.bincount(kinds[counts > 0], minlength=shape.endings)
-        out.append((2, 0, _join(vocabulary[top], counts[top], kinds[top], np.array([counts.sum()]), distinct)))
+        tokens = np.bincount(kinds, counts, shape.endings).astype(np.int64)
+        out.append((2, 0, _join(vocabulary[top], counts[top], kinds[top], tokens, distinct)))
     return pa.Table.from_pylist([dict(zip(("kind", "stretch", "payload"), r, strict=True)) for r in out], pa.schema([("kind", pa.int32()), ("stretch", pa.int64()), ("payload", pa.binary())]))
 
 
@@ -184,71 +197,229 @@ class Classes:
         return out
 
 
-def _sequences(table: pa.Table, classes: Classes, shape: ModelShape, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of class trigrams (two before, then the class), one for each word and each document's end;
-    the classes; and the documents' offsets. Class size - 2 is the end, size - 1 what stands before the start."""
+def _sequences(table: pa.Table, classes: Classes, shape: ModelShape, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of each document's words and of its end (class size - 2), and the documents' offsets."""
     hashes, kinds, words = _words(table, shape)
     docs = len(words) - 1
     own = np.full(len(hashes) + docs, size - 2, np.int64)
     own[np.arange(len(hashes)) + textvec.owner(words)] = classes.of(hashes, kinds)
-    offs = words + np.arange(docs + 1)
-    one, two = np.full(len(own), size - 1), np.full(len(own), size - 1)
+    return own, words + np.arange(docs + 1)
+
+
+def _contexts(own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes one and two before each place of whole documents; size - 1 stands before the start."""
+    one, two = np.full(len(own), size - 1, own.dtype), np.full(len(own), size - 1, own.dtype)
     one[1:], two[2:] = own[:-1], own[:-2]
-    one[offs[:-1]] = two[offs[:-1]] = size - 1
-    second = offs[:-1][np.diff(offs) > 1] + 1
-    two[second] = size - 1
-    return (two * size + one) * size + own, own, offs
+    over = np.flatnonzero(own[:-1] == size - 2) + 1  # documents' first places but the very first
+    one[over] = two[over] = size - 1
+    over = over[over + 1 < len(own)] + 1
+    two[over] = size - 1
+    return one, two
 
 
-def train(codes: np.ndarray, counts: np.ndarray, size: int, shape: ModelShape) -> np.ndarray:
-    """Log10 probabilities (size * size contexts, size classes) of a log-bilinear model of the counted trigrams.
+class Model:
+    """A log-bilinear model in two levels: a class's group in context, then the class within its group.
 
-    A class's score is its vector times the sum of the two context vectors, each through its position's
-    matrix, plus a bias. Noise-contrastive estimation: tell trigrams drawn by their counts from ones whose
-    last class is drawn from the classes' frequencies.
+    counts: of the classes; the last one only stands before the start. Groups are of like frequency and
+    some root of the classes in number, so that scores are normalised exactly at the cost of about that root. A score is a vector times the sum of the two context vectors, each through its
+    position's matrix, plus a bias. `order` sorts classes by falling count; rows of q are in that order.
     """
-    rng = np.random.default_rng(shape.seed)
+
+    def __init__(self, counts: np.ndarray, shape: ModelShape):
+        size, d = len(counts), shape.size
+        weight = counts[: size - 1] + 0.5
+        self.order = np.argsort(-weight, kind="stable")
+        self.rank = np.empty(size, np.int32)
+        self.rank[self.order], self.rank[size - 1] = np.arange(size - 1), size - 1
+        weight = weight[self.order]
+        mass = np.cumsum(np.sqrt(weight))
+        many = math.ceil(math.sqrt(size - 1) / 1.5)
+        _, self.group = np.unique(np.minimum(((mass - np.sqrt(weight)) / mass[-1] * many).astype(np.int64), many - 1), return_inverse=True)
+        self.low = np.append(np.flatnonzero(np.diff(self.group, prepend=-1)), size - 1)
+        of_group = np.add.reduceat(weight, self.low[:-1])
+        self.inside = (weight / of_group[self.group]).astype(np.float32)
+        self.groups = (of_group / of_group.sum()).astype(np.float32)
+        rng = np.random.default_rng(shape.seed)
+        # the last column is the bias, less the logarithm of the expected number of noise classes
+        vectors = lambda n: np.hstack([rng.normal(0, 0.1, (n, d)), np.full((n, 1), -np.log(shape.noise))]).astype(np.float32)
+        self.p = {"r": rng.normal(0, 0.1, (size, d)).astype(np.float32), "q": vectors(size - 1), "g": vectors(len(self.groups)), "c": np.vstack([np.eye(d), 0.5 * np.eye(d)]).astype(np.float32)}
+
+    def learn(self, own: np.ndarray, one: np.ndarray, two: np.ndarray, shape: ModelShape, passes: int, rate: float, seed: tuple) -> dict[str, np.ndarray]:
+        """Changes the model by `passes` passes over all trigrams, in an order of the seed's; how much each row saw.
+
+        Noise-contrastive estimation: tell each class from `noise` classes by their frequencies, whose
+        part of the gradient is taken as expected instead of drawn. Steps are scaled as by Adagrad, by row.
+        """
+        rng, p, low, d = np.random.default_rng(seed), self.p, self.low, shape.size
+        size, many = len(p["r"]), len(self.groups)
+        own, one, two = self.rank[own], self.rank[one], self.rank[two]
+        seen = np.bincount(self.group[own], minlength=many).astype(np.float32)
+        near_seen = (np.bincount(one, minlength=size) + np.bincount(two, minlength=size)).astype(np.float32)
+        tokens = len(own)
+        # repeated trigrams are learned from together, by their weight
+        codes, often = np.unique((own.astype(np.int64) * size + one) * size + two, return_counts=True)
+        times = -(-often // HEAVY)
+        own, one, two = (np.repeat(x.astype(np.int32), times) for x in (codes // (size * size), codes // size % size, codes % size))
+        weights = np.repeat((often / times).astype(np.float32), times)
+        del codes, often, times
+        sums = {k: np.full(len(v), 1e-8, np.float32) for k, v in p.items()}
+        noise_in, noise_of = shape.noise * self.inside, shape.noise * self.groups
+        batch = max(shape.batch, 64 * many)
+        room, at_most = np.empty(batch * max(many, int(np.diff(low).max())), np.float32), np.arange(batch)
+
+        def change(k: str, rows: slice | np.ndarray, grad: np.ndarray) -> None:
+            sums[k][rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+            p[k][rows] -= grad * (rate / np.sqrt(sums[k][rows]))[:, None]
+
+        def errors(context: np.ndarray, vectors: np.ndarray, noise: np.ndarray, true: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            e = room[: len(true) * len(noise)].reshape(len(true), len(noise))
+            np.matmul(context, -vectors.T, out=e)
+            np.exp(e, out=e)
+            e += 1
+            at = at_most[: len(true)]
+            right = 1 / e[at, true] - 1
+            np.divide(noise, e, out=e)
+            e[at, true] += right
+            e *= weight[:, None]
+            return e
+
+        with np.errstate(over="ignore"):
+            for _ in range(passes):
+                turn = rng.permutation(len(own)).astype(np.int32)
+                for at in range(0, len(own), batch):
+                    t = turn[at : at + batch]
+                    t = t[np.argsort(own[t], kind="stable")]
+                    w, weight, near = own[t], weights[t], np.concatenate([one[t], two[t]])
+                    n = len(t)
+                    r = p["r"][near]
+                    r = np.hstack([r[:n], r[n:]])
+                    context = np.ones((n, d + 1), np.float32)
+                    np.matmul(r, p["c"], out=context[:, :d])
+                    g = self.group[w]
+                    e = errors(context, p["g"], noise_of, g, weight)
+                    back = e @ p["g"]
+                    change("g", slice(None), e.T @ context)
+                    cuts = np.searchsorted(w, low)
+                    for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(low) > 1)).tolist():
+                        here, rows = slice(cuts[k], cuts[k + 1]), slice(low[k], low[k + 1])
+                        e = errors(context[here], p["q"][rows], noise_in[rows], w[here] - low[k], weight[here])
+                        back[here] += e @ p["q"][rows]
+                        change("q", rows, e.T @ context[here])
+                    back = np.ascontiguousarray(back[:, :d])
+                    grad = back @ p["c"].T
+                    change("c", slice(None), r.T @ back)
+                    grad = np.vstack([grad[:, :d], grad[:, d:]])
+                    by = np.argsort(near, kind="stable")
+                    near = near[by]
+                    first = np.flatnonzero(np.diff(near, prepend=-1))
+                    change("r", near[first], np.add.reduceat(grad[by], first))
+        return {"r": near_seen, "q": seen[self.group], "g": np.full(many, tokens, np.float32), "c": np.full(2 * d, tokens, np.float32)}
+
+    def log10(self, own: np.ndarray, one: np.ndarray, two: np.ndarray, held: int = 1 << 12) -> np.ndarray:
+        """Normalised log10 probability of each class in its context."""
+        d = self.p["r"].shape[1]
+        by_place = self.p["r"] @ self.p["c"][:d], self.p["r"] @ self.p["c"][d:]
+        vectors = {k: self.p[k] + np.append(np.zeros((len(n), d), np.float32), np.log(n)[:, None], 1) for k, n in (("q", self.inside), ("g", self.groups))}
+        size = len(self.p["r"])
+        codes, back = np.unique((self.rank[own].astype(np.int64) * size + self.rank[one]) * size + self.rank[two], return_inverse=True)
+        own, one, two = codes // (size * size), codes // size % size, codes % size  # by rank: few groups meet in each block
+        out = np.empty(len(own))
+
+        def level(context: np.ndarray, rows: np.ndarray, true: np.ndarray) -> np.ndarray:
+            z = context @ rows.T
+            z -= z.max(1, keepdims=True)
+            at = z[np.arange(len(true)), true]
+            return at - np.log(np.exp(z, out=z).sum(1))
+
+        for at in range(0, len(own), held):
+            t = slice(at, at + held)
+            w = own[t]
+            context = np.ones((len(w), d + 1), np.float32)
+            np.add(by_place[0][one[t]], by_place[1][two[t]], out=context[:, :d])
+            log = level(context, vectors["g"], self.group[w]).astype(np.float64)
+            cuts = np.searchsorted(w, self.low)
+            for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.low) > 1)).tolist():
+                here = slice(cuts[k], cuts[k + 1])
+                log[here] += level(context[here], vectors["q"][self.low[k] : self.low[k + 1]], w[here] - self.low[k])
+            out[t] = log
+        return out[back] / np.log(10)
+
+
+def passes_over(tokens: int, shape: ModelShape) -> int:
+    """Passes over all trigrams: one at least, and as many as `steps` batches take."""
+    return max(1, -(-shape.steps * shape.batch // max(tokens, 1)))
+
+
+def train(codes: np.ndarray, counts: np.ndarray, size: int, shape: ModelShape) -> np.ndarray:
+    """Log10 probabilities (size * size contexts, size classes) of a model of counted trigrams: codes of two
+    classes before, then the class; class size - 1 only stands before the start."""
     if not len(codes):
         return np.full((size * size, size), -np.log10(size))
-    two, one, own = codes // (size * size), codes // size % size, codes % size
-    noise = np.bincount(own, counts, size) + 0.5
-    noise /= noise.sum()
-    d = shape.size
-    p = {"r": rng.normal(0, 0.1, (size, d)), "q": rng.normal(0, 0.1, (size, d)), "c1": np.eye(d), "c2": 0.5 * np.eye(d), "b": np.log(noise)}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v = {k: np.zeros_like(x) for k, x in p.items()}
-    draw = np.cumsum(counts / counts.sum())
-    draw_noise = np.cumsum(noise)
-    for step in range(1, shape.steps + 1):
-        t = np.minimum(np.searchsorted(draw, rng.random(shape.batch)), len(codes) - 1)
-        false = np.minimum(np.searchsorted(draw_noise, rng.random((shape.batch, shape.noise))), size - 1)
-        w = np.concatenate([own[t][:, None], false], 1)
-        r1, r2 = p["r"][one[t]], p["r"][two[t]]
-        context = r1 @ p["c1"] + r2 @ p["c2"]
-        logit = np.take_along_axis(context @ p["q"].T + p["b"], w, 1) - np.log(shape.noise * noise[w])
-        error = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        error[:, 0] -= 1
-        # errors by example and class: both gradients are then matrix products
-        by = np.bincount((np.arange(shape.batch)[:, None] * size + w).ravel(), error.ravel() / shape.batch, shape.batch * size).reshape(shape.batch, size)
-        gq, gb, gc = by.T @ context, by.sum(0), by @ p["q"]
-        g1, g2 = gc @ p["c1"].T, gc @ p["c2"].T
-        gr = np.zeros_like(p["r"])
-        np.add.at(gr, one[t], g1)
-        np.add.at(gr, two[t], g2)
-        grads = {"r": gr, "q": gq, "c1": r1.T @ gc, "c2": r2.T @ gc, "b": gb}
-        rate = 0.02 * (1 - step / (shape.steps + 1)) + 0.0005
-        for k, g in grads.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.999 * v[k] + 0.001 * g * g
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    # all contexts in one product, normalised over the classes
-    context = (p["r"] @ p["c2"])[:, None, :] + (p["r"] @ p["c1"])[None, :, :]
-    logits = context.reshape(size * size, d) @ p["q"].T + p["b"]
-    logits[:, size - 1] = -np.inf  # nothing becomes what stands before the start
-    logits -= logits.max(1, keepdims=True)
-    out = logits - np.log(np.exp(logits).sum(1, keepdims=True))
-    out[:, size - 1] = -50
-    return out / np.log(10)
+    every = np.repeat(codes, counts)
+    two, one, own = every // (size * size), every // size % size, every % size
+    model = Model(np.bincount(own, minlength=size), shape)
+    model.learn(own, one, two, shape, passes_over(len(own), shape), RATE, (shape.seed,))
+    two, one, own = (x.ravel() for x in np.indices((size, size, size - 1)))
+    out = np.full((size * size, size), -50.0)
+    out[:, : size - 1] = model.log10(own, one, two).reshape(size * size, size - 1)
+    return out
+
+
+def _trained(docs: DataFrame, classes: Classes, counts: np.ndarray, size_bytes: int, shape: ModelShape) -> Model:
+    """The model of all of docs (text, place): every training trigram is learned from.
+
+    Documents are dealt by `place` into slices that grow with the model, so that models sent stay a part of
+    the input. In each of a few rounds a slice's share of documents changes a copy of the model, and copies
+    are averaged, each row by what it saw. Slices depend on the documents alone, not on how they are stored.
+    """
+    spark, size, tokens = docs.sparkSession, len(counts), int(counts.sum())
+    model = Model(counts, shape)
+    width = sum(v.nbytes for v in model.p.values())
+    slices = -(-size_bytes // min(max(12 * width, SLICE_BYTES), 6 * SLICE_BYTES))
+    rounds = ROUNDS if slices > 1 else 1
+    blocks = -(-width // (1 << 20))
+    passes = passes_over(tokens, shape)
+
+    def code(table: pa.Table) -> list:
+        own, offs = _sequences(table, classes, shape, size)
+        return [frames.packed(own.astype(np.int32), np.diff(offs))]
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("place").to_pylist(), table.column("codes").to_pylist(), strict=True))
+        return pa.table({"unit": table.column("unit")[:1], "codes": pa.array([b"".join(c for _, c in rows)], pa.binary())})
+
+    coded = frames.append(docs.select("place", "text"), "text", {"codes": "binary"}, code, drop_text=True)
+    coded = coded.withColumn("unit", F.pmod("place", F.lit(slices * rounds))).repartition(slices * rounds, "unit")
+    coded = frames.settled(coded.groupBy("unit").applyInArrow(pack, "unit long, codes binary"), "slices")
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+
+        def learn(batches: Iterator[pa.RecordBatch], k: int = k, sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for unit, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    own = np.frombuffer(codes.as_buffer(), np.int32)
+                    copy = pickle.loads(pickle.dumps(sent.value))
+                    seen = copy.learn(own, *_contexts(own, size), shape, passes, RATE / (k + 1), (shape.seed, unit))
+                    parts = {n: (np.array_split(copy.p[n], blocks), np.array_split(seen[n], blocks)) for n in copy.p}
+                    rows = [_join(*(x for n in parts for x in ((parts[n][0][b] * parts[n][1][b][:, None]).ravel(), parts[n][1][b]))) for b in range(blocks)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([unit] * blocks, pa.int64()), pa.array(rows, pa.binary())], names=["block", "unit", "payload"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total: list[np.ndarray] = []
+            for _, payload in sorted(zip(table.column("unit").to_pylist(), table.column("payload").to_pylist(), strict=True)):
+                own = _split(payload, *["<f4"] * 8)
+                total = [a + b for a, b in zip(total, own, strict=True)] if total else [x.astype(np.float64) for x in own]
+            return pa.table({"block": table.column("block")[:1], "payload": pa.array([_join(*total)], pa.binary())})
+
+        met = coded.where(F.col("unit") % rounds == k).mapInArrow(learn, "block int, unit long, payload binary")
+        for row in met.groupBy("block").applyInArrow(add, "block int, payload binary").toLocalIterator():
+            got = _split(row[1], *["<f8"] * 8)
+            for i, n in enumerate(model.p):
+                at = np.array_split(np.arange(len(model.p[n])), blocks)[row[0]]
+                on = got[2 * i + 1] > 0
+                model.p[n][at[on]] = (got[2 * i].reshape(len(at), -1)[on] / got[2 * i + 1][on][:, None]).astype(np.float32)
+    frames.discard(coded)
+    return model
 
 
 def scored(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, shape: ModelShape = ModelShape()) -> DataFrame:
@@ -256,60 +427,54 @@ def scored(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: i
 
     Training rows are those whose crc32 of doc_id as text, modulo `modulus`, is not `held` (a null
     identifier counts as an empty one). A null text is empty: one token, its end. Repeated rows count
-    as often as they occur and get equal scores. Without any training token all counts are 0 and the
+    as often as they occur and get equal scores but for rounding. Without any training token all counts are 0 and the
     model is uniform. An empty table gives no rows. Texts of any length are scored whole.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("key", frames.text_key("text")).withColumn("held_out", frames.bucket_of("doc_id", modulus) == held)
-    keyed = docs.select("text", "key", (~F.col("held_out")).cast("int").alias("train"))
-    size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.sum((~F.col("held_out")).cast("long"))).first()
+    keyed = docs.select("text", "key", (~F.col("held_out")).cast("int").alias("train"), F.xxhash64("doc_id", "key").alias("place"))
+    trained = F.when(~F.col("held_out"), F.octet_length("text"))
+    size = docs.agg(F.sum(F.octet_length("text")), F.sum(trained), F.sum((~F.col("held_out")).cast("long"))).first()
     buckets = min(4096, max(1, -(-(size[0] or 0) // BUCKET_BYTES)))
-    ends = size[2] or 0
+    ends, least = size[2] or 0, least_count(size[1] or 0)
 
-    blocks = _blocks(keyed, buckets, shape).repartition(buckets, "bucket")
-    met = blocks.groupBy("bucket").applyInArrow(lambda t: _met(t, shape), "kind int, stretch long, payload binary")
+    blocks = _blocks(keyed.drop("place"), buckets, shape).repartition(buckets, "bucket")
+    met = blocks.groupBy("bucket").applyInArrow(lambda t: _met(t, shape, least), "kind int, stretch long, payload binary")
     met = frames.settled(met, "counts")
     shares = met.where("kind < 2").groupBy("stretch").applyInArrow(_shares, "key binary, share double, known long")
     shares = frames.settled(shares.groupBy("key").agg(F.min("share").alias("share"), F.min("known").alias("known")), "shares")
 
-    # each bucket's few most frequent words, token total and class sizes
-    hashes, counts, kinds, tokens, distinct = [], [], [], 0, np.zeros(shape.endings, np.int64)
+    # each bucket's frequent words, and tokens and distinct words by ending
+    found, rest, distinct = [], np.zeros(shape.endings, np.int64), np.zeros(shape.endings, np.int64)
     for row in met.where("kind = 2").select("payload").toLocalIterator():
         h, c, k, n, d = _split(row[0], "<u8", "<i8", "u1", "<i8", "<i8")
-        joined = sorted(zip(hashes + h.tolist(), counts + c.tolist(), kinds + k.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[: shape.words]
-        hashes, counts, kinds = ([x[i] for x in joined] for i in range(3))
-        tokens += int(n[0])
-        distinct = distinct + d
+        found.append((h, c, k))
+        rest, distinct = rest + n, distinct + d
+    tokens = int(rest.sum())
     vocabulary = int(distinct.sum()) + (ends > 0)
-    top = sorted((h, c, k) for h, c, k in zip(hashes, counts, kinds, strict=True) if c > 0)
-    for _, _, k in top:
-        distinct[k] -= 1
-    classes = Classes(np.array([h for h, _, _ in top], np.uint64), np.array([c for _, c, _ in top], np.int64), np.zeros(shape.endings, np.int64), distinct)
+    hashes, counts, kinds = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate(("u8", "i8", "u1")))
+    top = np.lexsort((hashes, -counts))[: max(shape.words, int((counts >= least).sum()))]
+    top = top[counts[top] > 0]
+    top = top[np.argsort(hashes[top])]
+    rest -= np.bincount(kinds[top], counts[top], shape.endings).astype(np.int64)
+    distinct -= np.bincount(kinds[top], minlength=shape.endings)
+    classes = Classes(hashes[top], counts[top], rest, distinct)
     n_class = len(top) + shape.endings + 2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_class**3, np.int64)
-        for table in textvec.sized(batches, "text", frames.CHUNK_BYTES):
-            codes = _sequences(table, classes, shape, n_class)[0]
-            total += np.bincount(codes, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
-
-    grams = keyed.where("train = 1").select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    codes, n = grams.column("code").to_numpy(), grams.column("n").to_numpy()
-    classes.tokens = np.bincount(codes % n_class, n, n_class).astype(np.int64)[len(top) : len(top) + shape.endings]
-    sent = spark.sparkContext.broadcast((classes, train(codes, n, n_class, shape)))
+    every = np.concatenate([classes.counts, rest, [ends, 0]])
+    model = _trained(keyed.where("train = 1"), classes, every, (size[1] or 0) + ends, shape) if ends else None
+    sent = spark.sparkContext.broadcast((classes, model))
 
     def make(table: pa.Table) -> list:
-        own_classes, table_log = sent.value
-        codes, own, offs = _sequences(table, own_classes, shape, n_class)
+        own_classes, own_model = sent.value
+        own, offs = _sequences(table, own_classes, shape, n_class)
+        log = np.full(len(own), -np.log10(n_class)) if own_model is None else own_model.log10(own, *_contexts(own, n_class))
         doc = textvec.owner(offs)
         gain = np.zeros(n_class)
         gain[: len(own_classes.words)] = np.log10(own_classes.counts + 1.0)
         inside = np.zeros(n_class)
         inside[len(own_classes.words) : len(own_classes.words) + shape.endings] = np.log10(own_classes.tokens + own_classes.distinct + 1.0)
-        sums = [np.bincount(doc, x, table.num_rows) for x in (table_log.reshape(-1)[codes], gain[own], inside[own])]
+        sums = [np.bincount(doc, x, table.num_rows) for x in (log, gain[own], inside[own])]
         return [np.diff(offs), *sums]
 
     out = frames.append(docs.select("doc_id", "held_out", "key", "text"), "text", FIELDS, make, drop_text=True).join(shares, "key")

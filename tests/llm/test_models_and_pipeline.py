@@ -116,3 +116,27 @@ def test_pipeline_stands_nulls_and_repeated_rows(spark):
         docs = stage(spark, docs, SF)
     assert [r["doc_id"] for r in docs.collect()] == [3]
     assert queries.table(spark, SF, "documents").where(F.lit(False)).transform(lambda d: corpus_pipeline.STAGES[1][1](spark, d, SF)).count() == 0
+
+
+def test_words_beyond_the_first_forty_have_contexts_of_their_own(spark):
+    """Eighty pairs of words with one ending and one count, told apart by the word before alone."""
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    trained = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, f"left{i % 80}qz right{i % 80}qz") for i in trained]
+    rows += [(held[k], f"left{k}qz right{k}qz") for k in range(80)] + [(held[80 + k], f"left{k}qz right{(k + 7) % 80}qz") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.scored(df).collect()}
+    assert all(score[held[k]] > score[held[80 + k]] + 0.3 for k in range(80))
+
+
+def test_all_trigrams_are_learned_from_and_slices_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 4000)
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(30))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = lm.ModelShape(steps=1, size=8)
+    one, two = ({r["doc_id"]: r["score"] for r in lm.scored(df.repartition(n), shape=shape).collect()} for n in (1, 5))
+    assert len(one) == 400 and all(abs(one[k] - two[k]) < 1e-4 for k in one)
+    own = np.arange(5000) % 9
+    seen = lm.Model(np.append(np.bincount(own), 0), shape).learn(own, *lm._contexts(own, 10), shape, 1, 0.1, (1,))
+    assert seen["g"].max() == 5000 and seen["r"].sum() == 10000
+    assert [lm.passes_over(n, lm.ModelShape()) for n in (1 << 10, 10**9)] == [1200, 1]
