@@ -1,8 +1,8 @@
 """Secret scans: three pattern rules, and a token-efficiency test for random strings.
 
 Words and common identifiers compress to few tokens under a byte-level BPE vocabulary; random strings
-do not. Runs of credential characters with both letters and digits are tokenised, and one whose
-characters per token are low is reported, unless it is a digest of a known length, a UUID or another
+do not. Runs of credential characters with letters are tokenised, and one whose characters per token are
+low is reported, or else pieces of it of which that holds, unless it is a digest of a known length, a UUID or another
 known identifier.
 """
 
@@ -28,6 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[^/=+]{20,}")
 #: Digests (hexadecimal of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), UUIDs, numbers with separators.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+)\Z")
 
@@ -58,15 +59,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
-    """Runs of under `ratio` characters per token that hold letters and digits and are no known identifier."""
+    """Runs of under `ratio` characters per token that hold letters and are no known identifier; of a run that
+    is none as a whole, its pieces between '/', '=' and '+'."""
+
+    def random(run: str) -> bool:
+        return len(run) >= 20 and any(c.isalpha() for c in run) and not KNOWN.match(run) and len(run) < ratio * len(enc.encode_ordinary(run))
+
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0].strip("=-_/+")
-        if len(run) < 20 or run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or KNOWN.match(run):
-            continue
-        if len(run) < ratio * len(enc.encode_ordinary(run)):
-            at = m.start() + m[0].index(run)
+        at = m.start() + m[0].index(run)
+        if random(run):
             out.append((at, 3, at + len(run)))
+        elif len(run) > 20 and not KNOWN.match(run):
+            for piece in PIECE.finditer(run):
+                own = piece[0].strip("-_")
+                if len(own) < len(run) and random(own):
+                    a = at + piece.start() + piece[0].index(own)
+                    out.append((a, 3, a + len(own)))
     return out
 
 

@@ -122,6 +122,18 @@ def test_random_strings_but_not_digests_or_words():
     assert secrets.random_spans(f"see {random_one}, here", enc, 2.2) == [(4, 3, 4 + len(random_one))]
 
 
+def test_random_letters_and_pieces_of_runs():
+    enc = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rnd = random.Random(1)
+    letters = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32)) for _ in range(50)]
+    assert all(secrets.random_spans(f"a {x} b", enc, 2.2) == [(2, 3, 34)] for x in letters)
+    own = "xK9vQ2mZ7pL4tR8wB3nY6cJ1"
+    for front in ("service/production/credentials/", "authorization_credentials_value=", "very/long/readable/path/of/internationalization/configuration/"):
+        spans = secrets.random_spans(f"see {front}{own}, here", enc, 2.2)
+        assert len(spans) == 1 and spans[0][0] <= 4 + len(front) and spans[0][2] == 4 + len(front + own)
+    assert secrets.random_spans("see service/production/credentials/of/internationalization here", enc, 2.2) == []
+
+
 def test_secret_digests_and_masks(docs, rows, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     got = {(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.digests(docs, path, P.PATTERN).collect()}
