@@ -67,6 +67,8 @@ class Index:
         entries = set()
         for t, own in enumerate(self.words):
             grams, _ = textvec.window_hashes(own, np.array([0, len(own)]), rule.gram)
+            if len(own) < rule.window + rule.gram:  # winnowing would leave too few of a short template
+                entries.update((int(g), t, at) for at, g in enumerate(grams))
             for k in range(max(1, len(grams) - rule.window + 1)):
                 part = grams[k : k + rule.window]
                 if len(part):

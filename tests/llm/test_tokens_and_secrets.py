@@ -162,6 +162,13 @@ def test_license_finds(spark, docs):
     assert licenses.digests(docs).count() == docs.count()
 
 
+def test_short_templates_are_found_by_any_of_their_grams(spark):
+    df = spark.createDataFrame([(1, "Released by the MIT License."), (2, "Released under an MIT License.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_spans"] for r in licenses.license_spans(df).collect()}
+    assert [(s["license"], s["coverage"]) for s in got[1]] == [("MIT", 0.8)]
+    assert len(licenses.Index({"MIT": licenses.TEMPLATES["MIT"]}, licenses.ScanRule()).hashes) == 3
+
+
 def test_alignment_against_longest_common_subsequence():
     rnd = random.Random(3)
     for _ in range(100):
