@@ -68,16 +68,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v long): component is its component's least node.
 
     Loops, repeated edges and edges with a null end say nothing and may occur; nodes without any other
-    edge are left out. No edges give no rows.
+    edge are left out. No edges give no rows. Raises if `rounds` do not make every component whole.
     """
     own = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     edges = frames.settled(own.distinct().mapInArrow(_contracted, "u long, v long"), "edges")
-    for _ in range(rounds):
+    for k in range(rounds + 1):
         # stars whose leaves have one centre each, and whose centres are no leaves, are whole components
         leaves = edges.select("u").distinct()
         open_ends = edges.groupBy("u").count().where("count > 1").select("u").unionByName(edges.select(F.col("v").alias("u")).distinct().join(leaves, "u", "left_semi"))
         if open_ends.isEmpty():
             break
+        if k == rounds:
+            raise RuntimeError(f"components are not whole after {rounds} rounds")
         edges = frames.settled(_star(_star(edges, True), False), "edges")
     least = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)

@@ -129,3 +129,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 8} | {i: 20 for i in range(20, 61)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_raise_when_rounds_run_out(spark, monkeypatch):
+    from keelson.llm import components as C
+
+    monkeypatch.setattr(C, "_contracted", lambda batches: batches)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        C.components(edges, rounds=1)
+    assert {tuple(r) for r in C.components(edges).collect()} == {(i, 0) for i in range(21)}
