@@ -207,14 +207,14 @@ class WordEncoder:
     """Whole texts through a `tokenizers` file whose rules never join characters across white space.
 
     Each distinct word goes to the library once: runs of Latin letters to its model, all else through
-    its full encode().
+    its full encode(). A text that holds an added token goes there whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
@@ -245,6 +245,9 @@ class WordEncoder:
         return out
 
     def encode(self, text: str) -> bytes:
+        low = text.lower()
+        if any(t in text or t.lower() in low for t in self.added):
+            return self._full(text)
         if text.isascii():
             text = text.lower()
         get, make = self.words.get, self.word
