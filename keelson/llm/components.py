@@ -19,28 +19,31 @@ from keelson.llm import frames
 _HELD = 1 << 19  # edges that one union-find takes
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Edges (u, v) that join the same nodes as those given: each to the least node that these lead it to."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for side in (a, b):
+            np.minimum.at(root, root[side], low)
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    far = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["u", "v"])
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars in place of a partition's edges, some hundred thousand edges at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        u = np.concatenate([b.column(0).to_numpy() for b in held])
-        v = np.concatenate([b.column(1).to_numpy() for b in held])
-        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = at[: len(u)], at[len(u) :]
-        root = np.arange(len(names))
-        while True:
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            for side in (a, b):
-                np.minimum.at(root, root[side], low)
-                np.minimum.at(root, side, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        far = np.flatnonzero(root != np.arange(len(names)))
-        return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["u", "v"])
+        return stars(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1)))
 
     for batch in batches:
         held.append(batch)

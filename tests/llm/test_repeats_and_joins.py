@@ -93,7 +93,7 @@ def joined(rows, n, percent):
     return out
 
 
-@pytest.mark.parametrize("rule", [J.JoinRule(), J.JoinRule(n=4, percent=85, middling=3, frequent=0.05), J.JoinRule(n=2, percent=50, middling=3, frequent=0.1, paired=60, salted=3), J.JoinRule(n=3, percent=60, listed=5, middling=3)])
+@pytest.mark.parametrize("rule", [J.JoinRule(), J.JoinRule(n=4, percent=85, middling=3, frequent=4), J.JoinRule(n=2, percent=50, middling=3, frequent=8, salted=3), J.JoinRule(n=3, percent=60, listed=5, middling=3), J.JoinRule(n=2, percent=75, middling=3, frequent=3, block=2), J.JoinRule(n=3, percent=55, middling=3, block=3, block_bytes=2000)])
 def test_join_against_brute_force(docs, rows, rule):
     got = [tuple(r) for r in J.linked(docs, rule=rule).collect()]
     assert sorted(got, key=repr) == sorted(joined(rows, rule.n, rule.percent), key=repr)
@@ -107,21 +107,24 @@ def test_join_edges(empty, docs):
 def test_pairs_of_frequent_shingles_leave_one_signature():
     """Two sets as far apart as the rule allows always share a signature, whatever the classes."""
     rnd = random.Random(7)
-    rule = J.JoinRule(n=1, percent=80, paired=60)
-    for _ in range(300):
-        n = rnd.randint(2, 70)
+    for k in range(600):
+        rule = J.JoinRule(n=1, percent=(75, 80, 85, 95)[k % 4])
+        n = rnd.randint(2, (8, 70, 900)[k % 3])
         a = rnd.sample(range(1, 1 << 40), n)
         lost = n - -(-rule.percent * n // 100)
         keep = rnd.sample(a, n - rnd.randint(0, lost))
-        b = keep + [rnd.randrange(1 << 41, 1 << 42) for _ in range(rnd.randint(0, 3))]
+        more = len(keep) * 100 // rule.percent - n  # as many as the similarity allows, or fewer
+        b = keep + [rnd.randrange(1 << 41, 1 << 42) for _ in range(rnd.randint(0, max(more, 0)))]
         if 100 * len(keep) < rule.percent * len(set(a) | set(b)) or set(a) == set(b):
             continue
         sets = np.array(sorted(a) + sorted(b), np.uint64)
         offs = np.array([0, len(a), len(sets)])
-        known = np.array(sorted(rnd.sample(a, rnd.randint(0, n))), np.uint64)
+        every = sorted({*a, *b})
+        known = np.array(sorted(rnd.sample(every, rnd.choice([len(every), rnd.randint(0, len(every))]))), np.uint64)
         df = np.array([rnd.choice([5, 500]) for _ in known], np.int64)
         sigs, _ = J.signatures(sets, offs, known, df, 100, rule)
         assert set(sigs[0].tolist()) & set(sigs[1].tolist())
+        assert all(len(own) <= m + 1 for own, m in zip(sigs, np.diff(offs), strict=True))
 
 
 def test_components(spark):
