@@ -1,9 +1,10 @@
 """License scans: winnowed fingerprints pick candidate templates, a banded alignment confirms them.
 
 Templates are cut into words; hashes of short word grams are winnowed and kept in an inverted index. A
-document's grams are looked up; hits of one template that lie near one diagonal form a candidate, and a
-banded alignment of the template's words with the document's words there counts what matches. A
-candidate whose matched share of the template reaches `coverage` is reported with its span.
+document's grams are looked up; hits of one template whose places rise together form a chain, over insertions
+and deletions of up to `gap` words. A chain is a candidate, and an alignment of the template's words with the
+document's words, in a band around the chain's diagonals, counts what matches. A candidate whose matched share
+of the template reaches `coverage` is reported with its span.
 """
 
 from __future__ import annotations
@@ -18,24 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import frames, textvec
-
-#: Statements by which works name their license, by identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+from keelson.llm.license_texts import TEMPLATES
 
 SPAN = "array<struct<license:string,start:int,end:int,coverage:double>>"
 FIELDS = {"n_licenses": "long", "licenses": "string", "best_coverage": "double", "spans_sha256": "string", "spans": "string"}
@@ -44,11 +28,14 @@ FIELDS = {"n_licenses": "long", "licenses": "string", "best_coverage": "double",
 @dataclass(frozen=True)
 class ScanRule:
     """gram: words hashed together. window: of grams, one of each kept in the index. band: how far an
-    alignment may leave its diagonal, a quarter of the template's words at most. coverage: the least matched share of a template's words."""
+    alignment may leave its chain's diagonals, a quarter of the template's words at most. gap: by how many words the
+    diagonals of neighbouring hits may differ, two thirds of the template's words at most. coverage: the least matched
+    share of a template's words."""
 
     gram: int = 3
     window: int = 3
     band: int = 6
+    gap: int = 24
     coverage: float = 0.8
 
 
@@ -80,25 +67,66 @@ class Index:
         self.place = np.array([r[2] for r in rows], np.int64)
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """The most template words matched in order by document words within `band` of the diagonal
-    document place = template place + shift; and the first and last matched document places."""
-    width, n = 2 * band + 1, len(words)
-    best = [(0, -1, -1)] * (width + 1)  # by offset from the diagonal: matches, first, last
-    for i, word in enumerate(template):
-        row = [(0, -1, -1)] * (width + 1)
-        for k in range(width):
-            j = i + shift + k - band
-            here = best[k + 1]  # skip the template's word: the same place, one diagonal on
-            if k and row[k - 1] > here:
-                here = row[k - 1]  # skip the document's word
-            if 0 <= j < n and words[j] == word:
-                count, first, _ = best[k]
-                if count + 1 > here[0]:
-                    here = (count + 1, j if first < 0 else first, j)
-            row[k] = here
-        best = row
-    return max(best, key=lambda x: (x[0], -x[2]))
+def _matched(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """The most template words that document words match in order, and the first document place up to which they do;
+    place less template place is low to high. A row of the alignment is one integer, a bit for each template word."""
+    places: dict[int, int] = {}
+    for i, word in enumerate(template.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    row, best, end = full, 0, -1  # a 0 in the row is a template word at which one more is matched
+    begin = max(0, low)
+    for j, word in enumerate(words[begin : max(0, high + len(template))].tolist(), begin):
+        hit = places.get(word)
+        if hit is None:
+            continue
+        hit &= (1 << max(j - low + 1, 0)) - 1 & -1 << max(j - high, 0) & full
+        if hit := row & hit:
+            row = (row + hit | row - hit) & full
+            if (count := len(template) - row.bit_count()) > best:
+                best, end = count, j
+    return best, end
+
+
+def align(template: np.ndarray, words: np.ndarray, shift: int, band: int, until: int | None = None) -> tuple[int, int, int]:
+    """The most template words matched in order by document words within `band` of the diagonals
+    document place = template place + (shift to until); and the first and last matched document places."""
+    low, high = shift - band, (shift if until is None else until) + band
+    count, last = _matched(template, words, low, high)
+    if not count:
+        return 0, -1, -1
+    # backwards from there: the diagonals of the turned sequences
+    turn = last + 1 - len(template)
+    _, first = _matched(template[::-1], words[: last + 1][::-1], turn - high, turn - low)
+    return count, last - first, last
+
+
+def chains(hits: list[tuple[int, int]], gap: int, length: int) -> list[tuple[int, int]]:
+    """Least and greatest diagonal of each chain of hits (document place, template place): along a chain both rise,
+    and the diagonal changes by at most `gap` from one hit to the next. length: of the template."""
+    hits = sorted(set(hits))
+    score, before = [], []
+    for i, (at, place) in enumerate(hits):
+        best, come = 0.0, -1
+        for q in range(i - 1, -1, -1):
+            at_q, place_q = hits[q]
+            if at - at_q > gap + length:
+                break
+            apart = abs(at - place - at_q + place_q)
+            if at_q < at and place_q < place and apart <= gap and score[q] - apart / (2 * gap + 1) > best:
+                best, come = score[q] - apart / (2 * gap + 1), q
+        score.append(best + 1)
+        before.append(come)
+    out, used = set(), [False] * len(hits)
+    for i in sorted(range(len(hits)), key=lambda i: -score[i]):
+        shifts = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            shifts.append(hits[i][0] - hits[i][1])
+            i = before[i]
+        if shifts:
+            out.add((min(shifts), max(shifts)))
+    return sorted(out)
 
 
 def scan(table: pa.Table, text: str, index: Index, rule: ScanRule) -> list[list[tuple[str, int, int, float]]]:
@@ -111,21 +139,18 @@ def scan(table: pa.Table, text: str, index: Index, rule: ScanRule) -> list[list[
     left = np.searchsorted(index.hashes, grams, "left")
     hit = np.flatnonzero(index.hashes[np.minimum(left, len(index.hashes) - 1)] == grams)
     chars = None
-    candidates: dict[tuple[int, int], list[int]] = defaultdict(list)
+    candidates: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     doc_of = np.searchsorted(gram_offs, hit, "right") - 1
     for g, d in zip(hit.tolist(), doc_of.tolist(), strict=True):
         e = int(left[g])
         while e < len(index.hashes) and index.hashes[e] == grams[g]:
-            candidates[d, int(index.template[e])].append(g - int(gram_offs[d]) - int(index.place[e]))
+            candidates[d, int(index.template[e])].append((g - int(gram_offs[d]), int(index.place[e])))
             e += 1
-    for (d, t), shifts in sorted(candidates.items()):
+    for (d, t), hits in sorted(candidates.items()):
         own, template = hashes[words[d] : words[d + 1]], index.words[t]
-        reach = -(10**9)
-        for shift in sorted(set(shifts)):
-            if shift <= reach:
-                continue
-            band = min(rule.band, max(1, len(template) // 4))  # short templates may follow each other closely
-            count, first, last = align(template, own, shift, band)
+        band = min(rule.band, max(1, len(template) // 4))  # short templates may follow each other closely
+        for low, high in chains(hits, min(rule.gap, max(1, 2 * len(template) // 3)), len(template)):
+            count, first, last = align(template, own, low, band, high)
             share = count / len(template)
             if share >= rule.coverage:
                 if chars is None:
@@ -133,12 +158,11 @@ def scan(table: pa.Table, text: str, index: Index, rule: ScanRule) -> list[list[
                 base = chars[offs[d]]
                 a, b = words[d] + first, words[d] + last
                 out[d].append((index.names[t], int(chars[starts[a]] - base), int(chars[ends[b]] - base), share))
-                reach = shift + band
     # of one template's finds that overlap, the one with more matched, then the first, stays
     for d, finds in enumerate(out):
         if len(finds) > 1:
             kept: list = []
-            for f in sorted(finds, key=lambda f: (-f[3], f[1], f[0])):
+            for f in sorted(set(finds), key=lambda f: (-f[3], f[2] - f[1], f[1], f[0])):
                 if not any(f[0] == k[0] and f[1] < k[2] and k[1] < f[2] for k in kept):
                     kept.append(f)
             out[d] = sorted(kept, key=lambda f: (f[1], f[0]))

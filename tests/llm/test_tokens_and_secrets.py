@@ -187,3 +187,56 @@ def test_alignment_against_longest_common_subsequence():
             for j in range(len(b)):
                 table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (a[i] == b[j]))
         assert licenses.align(np.array(a), np.array(b), 0, 30)[0] == table[-1][-1]
+
+
+def common_words(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_with_changed_and_inserted_words_against_all_places(spark):
+    """Every template, with words put in, taken out and changed, amid other words: those of which plain alignment of
+    all places matches the share are found, where they are; other texts have no find."""
+    rnd = random.Random(8)
+    noise = [f"w{i}" for i in range(500)]
+    rows, want = [], {}
+    for k, (name, template) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for turn in range(3):
+            words = template.split()
+            own = list(words)
+            if turn and len(own) > 30:
+                at = rnd.randrange(len(own) // 3, 2 * len(own) // 3)
+                own[at:at] = rnd.sample(noise, (8, 20)[turn - 1])
+                for _ in range(2):
+                    own[rnd.randrange(len(own))] = rnd.choice(noise)
+            front, back = (" ".join(rnd.choice(noise) for _ in range(rnd.randint(0, 40))) for _ in range(2))
+            rows.append((3 * k + turn, f"{front} {' '.join(own)} {back}"))
+            want[3 * k + turn] = (name, len(front) + 1, len(front) + 1 + len(" ".join(own)))
+    rows += [(1000 + i, " ".join(rnd.choice("the of and license software without any provided that in or to".split()) for _ in range(300))) for i in range(20)]
+    got = {r["doc_id"]: r["license_spans"] for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, start, end) in want.items():
+        own = [s for s in got[i] if s["license"] == name and s["start"] < end and start < s["end"]]
+        assert len(own) == 1 and start <= own[0]["start"] and own[0]["end"] <= end, (name, got[i])
+        assert own[0]["end"] - own[0]["start"] > 0.7 * (end - start)
+    texts = dict(rows)
+    split = lambda t: licenses._words(licenses.pa.array([t], licenses.pa.string()))[2].tolist()
+    for i, spans in got.items():
+        for s in spans:
+            template = split(licenses.TEMPLATES[s["license"]])
+            assert s["coverage"] <= common_words(template, split(texts[i])) / len(template) + 1e-9 and s["coverage"] >= 0.8
+    for name, template in licenses.TEMPLATES.items():
+        own = split(template)
+        assert not any(s["license"] == name and common_words(own, split(texts[i])) < 0.8 * len(own) for i, spans in got.items() for s in spans)
+
+
+def test_eight_words_in_the_middle_of_a_permission(spark):
+    words = licenses.TEMPLATES["MIT-permission"].split()
+    text = " ".join([*words[:24], *"one two three four five six seven eight".split(), *words[24:]])
+    got = licenses.license_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["license_spans"]
+    assert [(s["license"], s["start"], s["end"], s["coverage"]) for s in got if s["license"] == "MIT-permission"] == [("MIT-permission", 0, len(text), 1.0)]
