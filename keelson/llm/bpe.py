@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from keelson.llm import frames
 
 FIELDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-_CACHED = 600_000  # distinct words and pieces that a Python worker keeps
+CACHE_BYTES = 96 << 20  # about what words with their ids, and pieces with theirs, may take in a Python worker each
+APART = 300_000  # pairs of tokens of which a worker keeps whether they stay apart
+_ENTRY = 220  # bytes of an entry besides its text and ids
 
 
 class Vocabulary:
@@ -75,6 +77,8 @@ class Vocabulary:
         key = left * self.none + right
         known = self._apart.get(key)
         if known is None:
+            if len(self._apart) >= APART:
+                self._apart.clear()
             known = self._apart[key] = self._stay(left, right)
         return known
 
@@ -160,6 +164,28 @@ class Piece:
         return self.vocabulary.walk(self.last, end)
 
 
+class Kept:
+    """Ids of texts, for about CACHE_BYTES: once the newer half is full the older one goes, but for what was asked for since."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the newer half
+
+    def put(self, text: str, ids: bytes) -> None:
+        if len(text) <= 64:
+            if self.held > CACHE_BYTES // 2:
+                self.old, self.new, self.held = self.new, {}, 0
+            self.new[text] = ids
+            self.held += len(text) + len(ids) + _ENTRY
+
+    def older(self, text: str) -> bytes | None:
+        ids = self.old.get(text)
+        if ids is not None:
+            self.put(text, ids)
+        return ids
+
+
 class Encoder:
     """Texts to ids, each as packed unsigned 32-bit little-endian integers.
 
@@ -170,43 +196,39 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(), Kept()
 
-    def _cut(self, text: str) -> bytes:
+    def _cut(self, pieces: list[str]) -> bytes:
         known, out = self.pieces, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
+        for piece in pieces:
+            ids = known.new.get(piece) or known.older(piece)
             if ids is None:
                 ids = pack(self.vocabulary.encode_piece(piece.encode()))
-                if len(piece) <= 64:
-                    known[piece] = ids
+                known.put(piece, ids)
             out.append(ids)
         return b"".join(out)
 
     def _word(self, word: str) -> bytes:
-        ids = self._cut(word)
-        if len(word) <= 64:
-            self.words[word] = ids
+        ids = self.words.older(word)
+        if ids is None:
+            pieces = self.pattern.findall(word)
+            ids = pack(self.vocabulary.encode_piece(word.encode())) if len(pieces) == 1 else self._cut(pieces)
+            self.words.put(word, ids)
         return ids
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        out = [self.encode(text) for text in texts]
-        for cache in (self.pieces, self.words):
-            if len(cache) > _CACHED:
-                cache.clear()
-        return out
+        return [self.encode(text) for text in texts]
 
     def encode(self, text: str) -> bytes:
         if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return self._cut(text)
+            return self._cut(self.pattern.findall(text))
         parts = text.split(" ")
-        get, make = self.words.get, self._word
-        head = self._cut(parts[0]) if parts[0] else b""
+        get, make = self.words.new.get, self._word
+        head = self._cut(self.pattern.findall(parts[0])) if parts[0] else b""
         return head + b"".join([get(w) or make(w) for w in [" " + p for p in parts[1:]]])
 
 
-_encoders: dict[tuple[str, str], tuple[Encoder, np.ndarray, np.ndarray]] = {}
+_encoders: dict[tuple[str, str], tuple[Encoder, np.ndarray, np.ndarray]] = frames.kept()
 
 
 def encoder(path: str, pattern: str) -> tuple[Encoder, np.ndarray, np.ndarray]:

@@ -74,7 +74,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edge are left out. No edges give no rows. Raises if `rounds` do not make every component whole.
     """
     own = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
-    edges = frames.settled(own.distinct().mapInArrow(_contracted, "u long, v long"), "edges")
+    edges = frames.settled(own.distinct().mapInArrow(frames.task(_contracted, __name__), "u long, v long"), "edges")
     for k in range(rounds + 1):
         # stars whose leaves have one centre each, and whose centres are no leaves, are whole components
         leaves = edges.select("u").distinct()

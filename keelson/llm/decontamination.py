@@ -172,11 +172,10 @@ def _marks(table: pa.Table, text: str, tests: Tests, spans: str, items: str) ->
     return [np.diff(words), frames.packed(runs, 2 * np.bincount(own, minlength=docs)), pa.array(lists, pa.list_(pa.string()))]
 
 
-def _verdict(table: pa.Table, spans: str, items: str, percent: int) -> list:
-    runs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in table.column(spans).to_pylist()]
+def _verdict(n_words: np.ndarray, spans: pa.Array, items: pa.Array, percent: int) -> list:
+    runs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in spans.to_pylist()]
     n_hit = np.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], np.int64)
-    ids = [sorted(set(x)) for x in table.column(items).to_pylist()]
-    n_words = table.column("n_words").to_numpy()
+    ids = [sorted(set(x)) for x in items.to_pylist()]
     digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
     text = [",".join(f"{a}:{b}" for a, b in r.tolist()) for r in runs]
     return [n_words, n_hit, np.array([len(x) for x in ids], np.int64), digest, (n_hit > 0) & (100 * n_hit >= percent * n_words), text]
@@ -184,7 +183,7 @@ def _verdict(table: pa.Table, spans: str, items: str, percent: int) -> list:
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
     """The test items in lists of at most about block_bytes of text each, one list at a time on the driver."""
-    own = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
+    own = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).distinct()
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
     if n <= 1:
@@ -205,19 +204,30 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     empty benchmark marks nothing; an empty table stays empty. Columns of df with the new names are
     replaced, all others handed on. Texts of any length are searched whole.
     """
-    out = frames.without(df, [*FIELDS, "_spans", "_items"])
-    context = df.sparkSession.sparkContext
-    for rows in blocks(benchmark, item_id, item_text, block_bytes):
-        sent = context.broadcast(Tests.build([r[0] for r in rows], [r[1] for r in rows], window))
-        out = frames.append(out, text, {"n_words": "long", "_spans_new": "binary", "_items_new": "array<string>"}, lambda t, sent=sent: _marks(t, text, sent.value, "_spans", "_items"))
-        out = out.drop("_spans", "_items").withColumnsRenamed({"_spans_new": "_spans", "_items_new": "_items"})
-    out = frames.append(out, text, FIELDS, lambda t: _verdict(t, "_spans", "_items", percent))
-    return out.drop("_spans", "_items")
+    return _judged(df, benchmark, {n: n for n in FIELDS}, text, item_id, item_text, window, percent, block_bytes)
+
 
+_OWN = "__contamination_"  # how no column of a user should begin
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of df that are not contaminated, with df's own columns; nulls and ties as in contamination()."""
-    return contamination(df, benchmark, **options).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in df.columns])
+
+def _judged(df: DataFrame, benchmark: DataFrame, names: dict[str, str], text: str, item_id: str, item_text: str, window: int, percent: int, block_bytes: int) -> DataFrame:
+    """One pass over df for each block of test items; the last one gives the verdict as well."""
+    out = frames.without(df, list(names.values()))
+    spans, items = f"{_OWN}spans", f"{_OWN}items"
+    context, last = df.sparkSession.sparkContext, None
+    for rows in blocks(benchmark, item_id, item_text, block_bytes):
+        if last is not None:
+            out = frames.append(out, text, {f"{spans}_new": "binary", f"{items}_new": "array<string>"}, lambda t, sent=last: _marks(t, text, sent.value, spans, items)[1:])
+            out = out.drop(spans, items).withColumnsRenamed({f"{spans}_new": spans, f"{items}_new": items})
+        last = context.broadcast(Tests.build([r[0] for r in rows], [r[1] for r in rows], window))
+    out = frames.append(out, text, {names[n]: k for n, k in FIELDS.items()}, lambda t, sent=last: _verdict(*_marks(t, text, sent.value, spans, items), percent))
+    return out.drop(spans, items)
+
+
+def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of df that are not contaminated, with df's own columns, whatever their names; nulls and ties as in contamination()."""
+    names = {n: _OWN + n for n in FIELDS}
+    return _judged(df, benchmark, names, text, item_id, item_text, window, percent, block_bytes).where(~F.col(names["contaminated"])).drop(*names.values())
 
 
 def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:

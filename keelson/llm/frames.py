@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -47,7 +48,7 @@ def append(df: DataFrame, text: str, fields: dict[str, str], fn: Callable[[pa.Ta
             out = pa.table([table.column(n) for n in names] + made, names=names + list(fields))
             yield from out.combine_chunks().to_batches()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task(run, fn.__module__), schema)
 
 
 def explode(df: DataFrame, text: str, fields: dict[str, str], fn: Callable[[pa.Table], Iterator[list]], target: int = CHUNK_BYTES) -> DataFrame:
@@ -59,7 +60,46 @@ def explode(df: DataFrame, text: str, fields: dict[str, str], fn: Callable[[pa.T
             for arrays in fn(table):
                 yield pa.RecordBatch.from_arrays([as_array(a, k) for a, k in zip(arrays, fields.values(), strict=True)], names=list(fields))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task(run, fn.__module__), schema)
+
+
+#: What a worker keeps between tasks, emptied before it works for another operator.
+_kept: list[dict] = []
+_owner = [""]
+
+
+def kept() -> dict:
+    """A table that tasks of one operator may keep things in: Python workers outlive their tasks."""
+    out: dict = {}
+    _kept.append(out)
+    return out
+
+
+def task(run: Callable[[Iterator], Iterator], owner: str) -> Callable[[Iterator], Iterator]:
+    """run, as a task of an operator: what others kept goes before, and unused memory after."""
+
+    def own(batches: Iterator) -> Iterator:
+        enter(owner)
+        yield from run(batches)
+        trim()
+
+    return own
+
+
+def enter(owner: str) -> None:
+    if _owner[0] != owner:
+        for table in _kept:
+            table.clear()
+        _owner[0] = owner
+        trim()
+
+
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
 
 
 def as_array(values, kind: str) -> pa.Array:
@@ -83,7 +123,7 @@ def packed(pieces: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def text_key(text: str = "text") -> Column:
     """16 bytes that stand for a text; a null stands with the empty text."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
 
 
 def bucket_of(doc_id: str, modulus: int) -> Column:

@@ -112,7 +112,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["k", "n"])
 
-    got = rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(frames.task(count, __name__), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(len(names) * (BUCKETS + len(SCRIPTS)))
     total[got.column("k").to_numpy()] = got.column("n").to_numpy()
     total = total.reshape(len(names), -1)

@@ -60,7 +60,7 @@ class JoinRule:
     salted: int = 2000
     few: int = 8
     block: int = 2048
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
 def shingle_sets(table: pa.Table, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def frequencies(docs: DataFrame, text: str, rule: JoinRule) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(text).mapInArrow(run, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+    return docs.select(text).mapInArrow(frames.task(run, __name__), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
 
 
 def listed(docs: DataFrame, text: str, rule: JoinRule) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +202,10 @@ def _possible(pairs: DataFrame, reps: DataFrame, rule: JoinRule) -> DataFrame:
 
     left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("p"))
     right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(frames.task(compare, __name__), "a long, b long")
 
 
-_PAIRS = 1 << 16  # that are compared at once
+_PAIRS = 1 << 15  # that are compared at once
 _HELD = 16_384  # rows of whole cells that are compared together
 LEFT, RIGHT, GUEST = 1, 2, 4
 
@@ -294,7 +294,7 @@ def _listed_pairs(rows: DataFrame, rule: JoinRule) -> DataFrame:
                 both = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(listed_in, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(frames.task(listed_in, __name__), "a long, b long").distinct()
 
 
 def _near(rows: DataFrame, rule: JoinRule) -> DataFrame:
@@ -324,7 +324,7 @@ def _near(rows: DataFrame, rule: JoinRule) -> DataFrame:
             a, b = node[held[0]], node[held[1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((count > most)[which[held[0]]])], names=["a", "b", "dense"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, dense boolean")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(frames.task(compare, __name__), "a long, b long, dense boolean")
 
 
 def _common(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -374,7 +374,7 @@ def _joining(rows: DataFrame, rule: JoinRule) -> DataFrame:
                 if any(len(u) for u, _ in found):
                     yield stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(frames.task(compare, __name__), "u long, v long")
 
 
 def _lists(values: list[np.ndarray], dtype, kind) -> pa.Array:
@@ -383,9 +383,8 @@ def _lists(values: list[np.ndarray], dtype, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(dtype), kind))
 
 
-def nodes(docs: DataFrame, doc_id: str, text: str, rule: JoinRule) -> DataFrame:
-    """(doc_id, node, n_shingles, sketch, sigs, salts) for each document; written to the shared folder."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def nodes(docs: DataFrame, rule: JoinRule) -> DataFrame:
+    """(node, n_shingles, sketch, sigs, salts) for each row of docs, with its columns but `text`; written to the shared folder."""
     known, df = listed(docs, "text", rule)
     sent = docs.sparkSession.sparkContext.broadcast((known, df))
 
@@ -397,19 +396,19 @@ def nodes(docs: DataFrame, doc_id: str, text: str, rule: JoinRule) -> DataFrame:
         return [ids, np.diff(offs), pa.array(sketches(sets, offs), pa.binary()), _lists(sigs, np.int64, pa.int64()), _lists(salts, np.int32, pa.int32())]
 
     fields = {"node": "long", "n_shingles": "long", "sketch": "binary", "sigs": "array<long>", "salts": "array<int>"}
-    return frames.settled(frames.append(docs, "text", fields, make, keep=["doc_id"]), "nodes")
+    return frames.settled(frames.append(docs, "text", fields, make, drop_text=True), "nodes")
 
 
 def _members(ends: DataFrame, docs: DataFrame, reps: DataFrame, rule: JoinRule) -> DataFrame:
     """(node, members): the sets of these nodes, packed; written to the shared folder."""
-    wanted = frames.small(frames.settled(reps.select("doc_id", "node").join(ends, "node", "left_semi"), "wanted"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    wanted = frames.small(frames.settled(reps.select("doc_id", "key", "node").join(ends, "node", "left_semi"), "wanted"))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["key"].eqNullSafe(wanted["key"])).select("node", "text")
 
     def make(table: pa.Table) -> list:
         sets, offs = shingle_sets(table, "text", rule.n)
         return [set_ids(sets, offs), frames.packed(sets, np.diff(offs))]
 
-    # a repeated doc_id may bring another text, which has another node, or one text again
+    # repeated rows bring one text again
     sets = frames.append(texts, "text", {"own": "long", "members": "binary"}, make, keep=["node"]).where("own = node").select("node", "members")
     return frames.settled(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
 
@@ -430,7 +429,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: JoinRule
                 keep.append(100 * common >= rule.percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = frames.settled(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    out = frames.settled(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(frames.task(compare, __name__), "a long, b long"), "links")
     frames.discard(sets)
     return out
 
@@ -444,18 +443,18 @@ def _pairs(rows: DataFrame, by: list[str], rule: JoinRule) -> DataFrame:
     return near.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles and component_id, the least doc_id that links lead to.
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, key): identifier and key together stand for a row's text."""
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("key"))
 
-    A document of fewer than n words has one shingle, all its words; one without words (null texts too)
-    has none and is linked with nothing: its component_id is its own doc_id. Words are split at ASCII
-    white space and A-Z lower-cased. Repeated rows and copies share a component; a component whose
-    identifiers are all null has a null one, else nulls do not count. An empty table gives no rows.
-    """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = nodes(docs, doc_id, text, rule)
+
+def _labelled(own: DataFrame, rule: JoinRule) -> tuple[DataFrame, DataFrame]:
+    """Of own (doc_id, text, key): its rows with node and n_shingles and without texts, and (node, component) of the
+    nodes with links."""
+    every = nodes(own, rule)
     filled = every.where("n_shingles > 0")
-    reps = frames.settled(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "reps")
+    reps = filled.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("s"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = frames.settled(reps.select("node", "s.doc_id", "s.key", "n", "sketch"), "reps")
     rows = filled.where("size(sigs) > 0").select("node", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("sigs", "salts")).alias("s")).select(F.col("s.sigs").alias("sig"), F.col("s.salts").alias("salt"), "node", "n")
     shared = rows.groupBy("sig").agg((F.min("node") != F.max("node")).alias("shared")).where("shared").select("sig")
     rows = frames.settled(rows.join(shared, "sig", "left_semi").distinct(), "signatures")
@@ -480,8 +479,42 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Jo
         frames.discard(sets, few)
     frames.discard(near, more)
     named = components(links.unionByName(named.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    label = reps.select("node", "doc_id").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return every.drop("sketch", "sigs", "salts"), named
+
+
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles and component_id, the least doc_id that links lead to.
+
+    A document of fewer than n words has one shingle, all its words; one without words (null texts too)
+    has none and is linked with nothing: its component_id is its own doc_id. Words are split at ASCII
+    white space and A-Z lower-cased. Repeated rows and copies share a component; a component whose
+    identifiers are all null has a null one, else nulls do not count. An empty table gives no rows. Texts of any
+    length are compared whole. Other columns of docs, whatever their names, are not looked at.
+    """
+    every, named = _labelled(_rows(docs, doc_id, text), rule)
+    filled = every.where("n_shingles > 0")
+    label = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "component").select("node", "component_id")
     with_words = filled.select("doc_id", "node", "n_shingles").join(label, "node").select("doc_id", "n_shingles", "component_id")
     return with_words.unionByName(every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+_KEY, _ID = "__join_key", "__join_id"  # names that no column of a user should have
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
+    """The rows of docs less near copies: of each component of linked documents the row with the least doc_id stays,
+    and of rows with that doc_id the one with the least digest of its text.
+
+    Null identifiers come after all others. Rows without words (null texts too) are linked with nothing and stay.
+    Of rows with one identifier and one text a single one stays. One identifier on different texts is no link.
+    All columns of docs are handed on, whatever their names; an empty table stays empty.
+    """
+    every, named = _labelled(_rows(docs, doc_id, text), rule)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")
+    kept = every.where("n_shingles > 0").join(named, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(first).select("s.doc_id", "s.key")
+    kept = kept.unionByName(every.where("n_shingles = 0").select("doc_id", "key").distinct()).select(F.col("doc_id").alias(_ID), F.col("key").alias(_KEY))
+    marked = docs.withColumns({_ID: F.col(f"`{doc_id}`").cast("long"), _KEY: F.xxhash64(f"`{text}`")})
+    out = marked.join(kept, marked[_ID].eqNullSafe(kept[_ID]) & (marked[_KEY] == kept[_KEY]), "left_semi")
+    return out.dropDuplicates([_ID, _KEY]).drop(_ID, _KEY)

@@ -113,12 +113,12 @@ def measure(table: pa.Table, text: str, limits: QualityLimits) -> list[np.ndarra
     return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, n_covered, most, failed, ~(failed | bad)]
 
 
-def quality_rules(df: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """df with the columns of FIELDS; `kept` is the verdict.
+def quality_rules(df: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits(), fields: dict[str, str] | None = None) -> DataFrame:
+    """df with the columns of FIELDS, or as `fields` renames them; `kept` is the verdict.
 
     A null text counts as empty: no words, base_failed, not kept. Rows are judged one by one, so
     repeated rows and ties get equal results; an empty table gives an empty result. Columns of df
     with the new names are replaced, all others are handed on. Words are split at ASCII white space;
     lines at \\n, and only lines with a word count. Texts of any length are processed whole.
     """
-    return frames.append(df, text, FIELDS, lambda t: measure(t, text, limits))
+    return frames.append(df, text, {(fields or {}).get(n, n): k for n, k in FIELDS.items()}, lambda t: measure(t, text, limits))

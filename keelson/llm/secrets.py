@@ -35,7 +35,7 @@ KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 FIELDS = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
 
-_encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
+_encodings: dict[tuple[str, str], tiktoken.Encoding] = frames.kept()
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -119,6 +119,9 @@ def digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ra
     return frames.append(df, text, FIELDS, make, keep=keep)
 
 
+_MASKED = "__secrets_masked"  # a name that no column of a user should have
+
+
 def masked(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ratio: float = 2.2, mask: str = "[SECRET]", length: str | None = "n_chars") -> DataFrame:
     """df with every found span replaced by `mask` in the text; `length`, if df has it, is set to the new
     number of characters of changed texts. Overlapping spans are replaced as one. Texts without a find, nulls among them, stay."""
@@ -139,9 +142,9 @@ def masked(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", rat
         return [out]
 
     names = df.columns
-    out = frames.append(df, text, {"_masked": "string"}, make)
-    changed = ~F.col("_masked").eqNullSafe(F.col(text))
-    new = {text: F.col("_masked")}
+    out = frames.append(df, text, {_MASKED: "string"}, make)
+    changed = ~F.col(_MASKED).eqNullSafe(F.col(f"`{text}`"))
+    new = {text: F.col(_MASKED)}
     if length in names:
-        new[length] = F.when(changed, F.char_length("_masked").cast(df.schema[length].dataType)).otherwise(F.col(f"`{length}`"))
+        new[length] = F.when(changed, F.char_length(_MASKED).cast(df.schema[length].dataType)).otherwise(F.col(f"`{length}`"))
     return out.select(*[(new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in names])

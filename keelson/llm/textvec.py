@@ -44,14 +44,18 @@ _BYTE_CODE = mix64(np.arange(1, 257, dtype=U64))
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+_POWERS = 5 << 19  # that a worker keeps; longer texts make their own
+
+
 def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers[name]
     if len(have) < n:
-        size = max(n, 2 * len(have))
-        grown = np.full(size, base, U64)
+        grown = np.full(max(n, min(2 * len(have), _POWERS)), base, U64)
         grown[0] = 1
         with np.errstate(over="ignore"):
-            _powers[name] = have = np.multiply.accumulate(grown, dtype=U64)
+            have = np.multiply.accumulate(grown, dtype=U64)
+        if len(have) <= _POWERS:
+            _powers[name] = have
     return have[:n]
 
 
