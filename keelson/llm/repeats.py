@@ -21,12 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import frames, textvec
 
 FIELDS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+HOT = 2000
 _PIECE = 8 << 20  # window starts handled at once in very long texts
 
 
@@ -235,33 +237,45 @@ def parts_of(windows: int, ahead: int, width: int) -> list[tuple[int, int, int]]
     return out
 
 
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[pa.StructArray, np.ndarray]:
+    """The structs of a column of lists one after another, and the row of each; nulls are empty lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.repeat(np.arange(len(column)), sizes)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, rule: RepeatRule) -> DataFrame:
     """(key, start, hash, region, text): the regions' bytes, for every row of docs."""
     joined = docs.join(wanted, "key")
 
     def make(table: pa.Table) -> Iterator[list]:
         data, offs = textvec.buffers(table.column("text"))
-        raw = data.tobytes()
-        keys, starts, hashes, regions, texts, seen = [], [], [], [], [], set()
-        for d, (key, items) in enumerate(zip(table.column("key").to_pylist(), table.column("regions").to_pylist(), strict=True)):
-            for item in items:
-                begin, windows, own = int(offs[d]) + item["start"], item["windows"], item["hash"]
-                crowded = item["crowd"] >= rule.crowded
-                width = 1 if item["crowd"] >= 100 * rule.crowded else rule.part
-                for first, last, least in parts_of(windows, item["ahead"], width) if crowded else ((0, windows - 1, 0),):
-                    if crowded:  # what every window of such a part holds, wherever the region begins and ends
-                        core = begin + item["ahead"] - least
-                        digest = hashlib.md5(raw[core : core + rule.length - width + 1] + least.to_bytes(4, "little")).digest()
-                        own = int.from_bytes(digest[:8], "little", signed=True)
-                    part = raw[begin + first : begin + last + rule.length]
-                    digest = hashlib.md5(part + own.to_bytes(8, "little", signed=True)).digest()
-                    keys.append(key)
-                    starts.append(item["start"] + first)
-                    hashes.append(own)
-                    regions.append(digest)
-                    texts.append(None if digest in seen else part)  # once a stretch of documents is enough
-                    seen.add(digest)
-        yield [pa.array(keys, pa.binary()), np.array(starts, np.int32), np.array(hashes, np.int64), pa.array(regions, pa.binary()), pa.array(texts, pa.binary())]
+        keys, (items, doc) = table.column("key").combine_chunks(), flat(table.column("regions"))
+        start, windows, ahead, hashes, crowd = (items.field(c).to_numpy() for c in ("start", "windows", "ahead", "hash", "crowd"))
+        begin, core, group = offs[doc] + start, np.zeros(0, np.int64), hashes.view(np.uint64)
+        crowded = crowd >= rule.crowded
+        if crowded.any():
+            own = np.flatnonzero(~crowded)
+            parts = [(i, *p) for i in np.flatnonzero(crowded).tolist() for p in parts_of(int(windows[i]), int(ahead[i]), 1 if crowd[i] >= 100 * rule.crowded else rule.part)]
+            which, first, last, least = (np.array(x, np.int64) for x in zip(*parts, strict=True))
+            # what every window of such a part holds, wherever the region begins and ends
+            core = begin[which] + ahead[which] - least
+            width = np.where(crowd[which] >= 100 * rule.crowded, 1, rule.part)
+            code = textvec.span_hashes(data, core, core + rule.length - width + 1) ^ textvec.mix64(least.astype(np.uint64) + np.uint64(1))
+            at = np.concatenate([own, which])
+            group = np.concatenate([group[own], code])
+            begin, start, doc = begin[at] + np.concatenate([0 * own, first]), start[at] + np.concatenate([0 * own, first]), doc[at]
+            windows = np.concatenate([windows[own], last - first + 1])
+        end = begin + windows + rule.length - 1
+        one, two = (textvec.span_hashes(x, begin, end) ^ textvec.mix64(group) for x in (data, data ^ np.uint8(0xA5)))
+        order = np.lexsort((two, one))
+        new = np.ones(len(one), bool)
+        new[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])  # once a stretch of documents is enough
+        sizes = np.where(new, end - begin, 0)
+        raw = data[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        texts = pc.if_else(pa.array(new), frames.packed(raw, sizes), pa.scalar(None, pa.binary()))
+        yield [keys.take(pa.array(doc)), start.astype(np.int32), group.view(np.int64), frames.packed(np.stack([one, two], 1).ravel(), np.full(len(one), 2)), texts]
 
     return frames.explode(joined, "text", {"key": "binary", "start": "int", "hash": "long", "region": "binary", "text": "binary"}, make)
 
@@ -270,10 +284,15 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
     """docs: (key, text), key standing for the text. One row for each key with repeats: (key, spans),
     spans being packed int32 pairs of first and last window start, in no order."""
     found = frames.settled(_regions(docs, rule), "anchors")
-    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    wanted = found.join(again, "hash").distinct().groupBy("key").agg(F.collect_list(F.struct("hash", "start", "windows", "ahead", "crowd")).alias("regions"))
+    again = frames.settled(found.groupBy("hash").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "again")
+    # hashes with over a HOT-th of all regions, fewer than HOT, meet theirs without a shuffle
+    hot = again.where(F.col("crowd") > found.count() / HOT)
+    marked = found.join(F.broadcast(hot.withColumnRenamed("crowd", "known")), "hash", "left")
+    names = ["hash", "key", "start", "windows", "ahead", "crowd"]
+    met = marked.where("known is null").drop("known").join(again, "hash").select(*names).unionByName(marked.where("known is not null").withColumnRenamed("known", "crowd").select(*names))
+    wanted = met.distinct().groupBy("key").agg(F.collect_list(F.struct("hash", "start", "windows", "ahead", "crowd")).alias("regions"))
     wanted = frames.settled(wanted, "wanted")
-    frames.discard(found)
+    frames.discard(found, again)
     texts = frames.settled(_texts(docs, wanted, rule), "regions")
     frames.discard(wanted)
     distinct = texts.groupBy("hash", "region").agg(F.count(F.lit(1)).alias("weight"), F.max("text").alias("text"))
@@ -317,7 +336,7 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
         if alone:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in alone], pa.binary()), pa.array([x for _, x in alone], pa.binary())], names=["region", "spans"])
 
-    solved = distinct.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(solve, "region binary, spans binary")
+    solved = distinct.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(frames.task(solve, __name__), "region binary, spans binary")
     solved = frames.settled(solved, "solved")
     spans = texts.select("key", "start", "region").distinct().join(solved, "region").groupBy("key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     spans = frames.settled(spans, "spans")
@@ -325,67 +344,68 @@ def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFram
     return spans
 
 
+def _gone(found: pa.Array | pa.ChunkedArray, offs: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of the texts at offs a found window covers."""
+    items, doc = flat(found)
+    raw, at = textvec.buffers(items.field("spans"))
+    pairs = np.frombuffer(raw.tobytes(), np.int32).reshape(-1, 2) + np.repeat(offs[doc] + items.field("start").to_numpy(), np.diff(at) // 8)[:, None]
+    size = int(offs[-1])
+    step = np.bincount(pairs[:, 0], minlength=size + 1) - np.bincount(pairs[:, 1] + length, minlength=size + 1)
+    return np.cumsum(step[:size]) > 0
+
+
 def _removed(table: pa.Table, length: int) -> list:
     data, offs = textvec.buffers(table.column("text"))
-    raw = data.tobytes()
-    sizes, removed, spans, digests = np.diff(offs), [], [], []
-    for d, found in enumerate(table.column("found").to_pylist()):
-        begin, end = int(offs[d]), int(offs[d + 1])
-        if not found:
-            removed.append(0)
-            spans.append(0)
-            digests.append(hashlib.sha256(raw[begin:end]).hexdigest())
-            continue
-        step = np.zeros(end - begin + 1, np.int32)
-        for item in found:
-            pairs = np.frombuffer(item["spans"], np.int32).reshape(-1, 2) + item["start"]
-            np.add.at(step, pairs[:, 0], 1)
-            np.add.at(step, pairs[:, 1] + length, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        a, _ = runs_of(gone)
-        removed.append(int(gone.sum()))
-        spans.append(len(a))
-        digests.append(hashlib.sha256(data[begin:end][~gone].tobytes()).hexdigest())
-    return [sizes, np.array(removed, np.int64), np.array(spans, np.int64), digests]
-
-
-def _cut(table: pa.Table, length: int) -> list:
+    gone = _gone(table.column(FOUND), offs, length)
+    total = np.append(0, np.cumsum(gone))
+    removed = total[offs[1:]] - total[offs[:-1]]
+    first = gone.copy()
+    first[1:] &= ~gone[:-1]
+    edges = offs[:-1][np.diff(offs) > 0]
+    first[edges] = gone[edges]
+    total = np.append(0, np.cumsum(first))
+    spans = total[offs[1:]] - total[offs[:-1]]
+    digests = []
+    for a, b, n in zip(offs[:-1].tolist(), offs[1:].tolist(), removed.tolist(), strict=True):
+        digests.append(hashlib.sha256(data[a:b][~gone[a:b]] if n else data[a:b]).hexdigest())
+    return [np.diff(offs), removed, spans, digests]
+
+
+def _cut(table: pa.Table, text: str, length: int) -> list:
+    column = table.column(text).combine_chunks()
+    data, offs = textvec.buffers(column)
+    gone = _gone(table.column(FOUND), offs, length)
     out = []
-    for text, found in zip(table.column("text").to_pylist(), table.column("found").to_pylist(), strict=True):
-        if text and found:
-            data = np.frombuffer(text.encode(), np.uint8)
-            step = np.zeros(len(data) + 1, np.int32)
-            for item in found:
-                pairs = np.frombuffer(item["spans"], np.int32).reshape(-1, 2) + item["start"]
-                np.add.at(step, pairs[:, 0], 1)
-                np.add.at(step, pairs[:, 1] + length, -1)
-            text = data[np.cumsum(step[:-1]) <= 0].tobytes().decode("utf-8", "ignore")
-        out.append(text)
+    for t, a, b in zip(column.to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        own = gone[a:b]
+        out.append(data[a:b][~own].tobytes().decode("utf-8", "ignore") if own.any() else t)
     return [out]
 
 
+FOUND, _KEY, _NEW = "__repeats_found", "__repeats_key", "__repeats_text"  # names that no column of a user should have
+
+
 def _with_spans(df: DataFrame, text: str, rule: RepeatRule) -> DataFrame:
-    docs = df.select(frames.text_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeated_spans(docs, rule).withColumnRenamed("key", "_key")
-    return df.withColumn("_key", frames.text_key(text)).join(spans, "_key", "left").drop("_key")
+    docs = df.select(frames.text_key(text).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    spans = repeated_spans(docs, rule).select(F.col("key").alias(_KEY), F.col("found").alias(FOUND))
+    return df.withColumn(_KEY, frames.text_key(text)).join(spans, _KEY, "left").drop(_KEY)
 
 
-def removal_digests(df: DataFrame, text: str = "text", rule: RepeatRule = RepeatRule()) -> DataFrame:
+def removal_digests(df: DataFrame, text: str = "text", rule: RepeatRule = RepeatRule(), doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of df: bytes of the text, bytes
-    removed, maximal removed runs, and digest of what remains.
+    removed, maximal removed runs, and digest of what remains. Other columns, whatever their names, are left out.
 
     A byte goes if a string of rule.length bytes that covers it starts anywhere else too, in this row
     or another; so repeated rows remove each other, first ones included. Texts are judged as UTF-8
-    bytes; a null text is empty. Texts shorter than rule.length stay. An empty table stays empty.
+    bytes; a null text is empty. Texts shorter than rule.length stay. Long ones are judged whole, in pieces
+    that overlap. An empty table stays empty.
     """
-    joined = _with_spans(df.select("doc_id", F.col(text).alias("text")), "text", rule)
+    joined = _with_spans(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", rule)
     return frames.append(joined, "text", FIELDS, lambda t: _removed(t, rule.length), keep=["doc_id"])
 
 
 def without_repeats(df: DataFrame, text: str = "text", rule: RepeatRule = RepeatRule()) -> DataFrame:
     """df with the repeated bytes cut out of the text (bytes left of a character cut in two go as well).
-    Cases as in removal_digests(); null texts stay null, and all other columns are handed on."""
-    names = df.columns
-    renamed = _with_spans(df.withColumnRenamed(text, "text") if text != "text" else df, "text", rule)
-    out = frames.append(renamed, "text", {"_cut": "string"}, lambda t: _cut(t, rule.length))
-    return out.select(*[F.col("_cut").alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    Cases as in removal_digests(); null texts stay null, and all other columns are handed on, whatever their names."""
+    out = frames.append(_with_spans(df, text, rule), text, {_NEW: "string"}, lambda t: _cut(t, text, rule.length))
+    return out.select(*[F.col(_NEW).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
