@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +193,8 @@ class ShardReader:
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+")
 #: The vocabulary's own rule for parts of such a word in lower case.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ſ]+")
-_CACHED = 500_000
+_CACHED = 500_000  # distinct words that a Python worker keeps
+_FRONT = 32  # characters of a text that order rows of one identifier between shards
 
 
 def byte_characters() -> dict[int, str]:
@@ -224,6 +226,13 @@ class WordEncoder:
     def ids(self, values: list[int]) -> bytes:
         return struct.pack(f"<{len(values)}{self.code}", *values)
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) > 64:
+            return
+        if len(self.words) >= _CACHED:
+            self.words.clear()
+        self.words[word] = ids
+
     def _full(self, word: str) -> bytes:
         return self.ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
@@ -235,13 +244,12 @@ class WordEncoder:
                 known = self.ids([t.id for t in self.model.tokenize(own)])
             else:
                 known = self._full(part)
-            self.words[part] = known
+            self._keep(part, known)
         return known
 
     def word(self, word: str) -> bytes:
         out = b"".join([self._part(p) for p in _PARTS.findall(word.lower())]) if _PLAIN.fullmatch(word) else self._full(word)
-        if len(word) <= 64:
-            self.words[word] = out
+        self._keep(word, out)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -253,13 +261,10 @@ class WordEncoder:
         get, make = self.words.get, self.word
         # characters 28 to 31 are white space to split() but not to the vocabulary
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        out = b"".join([get(w) or make(w) for w in (re.split(r"[\x20\x09-\x0D]+", text) if odd else text.split()) if w])
-        if len(self.words) > _CACHED:
-            self.words.clear()
-        return out
+        return b"".join([get(w) or make(w) for w in (re.split(r"[\x20\x09-\x0D]+", text) if odd else text.split()) if w])
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = frames.kept()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -268,64 +273,51 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_shards(df: DataFrame, vocabulary: str, folder: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_rows: int = 2000) -> DataFrame:
+def write_shards(df: DataFrame, vocabulary: str, folder: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_rows: int = 200_000, shards: int | None = None) -> DataFrame:
     """Encode df's texts and write them as shards in `folder`; a row for each shard: its number, path, documents and tokens.
 
     Identifiers ascend through the shards and within each; equal ones are ordered by their text, and
-    null identifiers come first. A null text is empty: just the end id. Each shard is written under a
+    null identifiers come first. A null text is empty: just the end id. Repeated rows are kept, each by itself.
+    An empty table gives no shards. Texts of any length are encoded whole, one at a time. Other columns of df,
+    whatever their names, are not looked at. Each shard is written under a
     name of its own and then renamed, so a task that runs again, or twice, leaves the same file.
+
+    Shards are ranges of identifiers; where rows share one, of the first characters of their texts as well, and rows
+    that are equal altogether may be in any of neighbouring shards. There are `shards` (by default as many as the session
+    has shuffle partitions), and more where one would hold over shard_rows.
     """
     spark = df.sparkSession
-    own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # boundaries by quantiles of the identifiers alone; a shard is all rows between two of them
-    rows = own.select("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("m")).first()
-    n = max(1, min(-(-rows["n"] // shard_rows), 100_000))
-    cuts = own.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 and rows["m"] else []
-    edges = sorted({int(c) for c in cuts})
-    shard = F.lit(0).cast("int")
-    if edges:
-        shard = F.coalesce(F.expr(f"cast(array_size(filter(array({','.join(f'{e}L' for e in edges)}), e -> e < doc_id)) as int)"), F.lit(0)) if len(edges) < 64 else F.coalesce(_bucket(edges), F.lit(0))
-    parts = own.withColumn("shard", shard).repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    n = max(shards or frames.slices(spark), -(-own.count() // shard_rows), 1)
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        parts = own.repartitionByRange(n, "doc_id")
+    else:
+        front = F.substring("text", 1, _FRONT)
+        alike = F.when(F.coalesce(F.length("text"), F.lit(0)) < _FRONT, F.monotonically_increasing_id())
+        parts = own.select("*", front.alias("front"), alike.alias("alike")).repartitionByRange(n, "doc_id", "front", "alike").select("doc_id", "text")
+    parts = parts.sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = frames.filesystem(folder)
         own_encoder = encoder(vocabulary)
-        writer = out = number = None
         end = own_encoder.ids([end_id])
-
-        def finish() -> pa.RecordBatch:
-            writer.close()
-            out.close()
-            path = f"{base}/shard-{number:06d}.ksst"
-            fs.move(temporary, path)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([writer.documents], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "documents", "tokens"])
-
-        fs.create_dir(base, recursive=True)
+        writer, number = None, TaskContext.get().partitionId()
         for batch in batches:
-            for k, d, t in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if k != number:
-                    if writer:
-                        yield finish()
-                    number, temporary = k, f"{base}/.part-{k:06d}-{uuid.uuid4().hex}"
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if writer is None:
+                    fs.create_dir(base, recursive=True)
+                    temporary = f"{base}/.part-{number:06d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temporary)
                     writer = ShardWriter(out, own_encoder.width)
                 writer.add(d, own_encoder.encode(t or "") + end)
         if writer:
-            yield finish()
-
-    return parts.mapInArrow(run, "shard int, path string, documents long, tokens long")
-
-
-def _bucket(edges: list[int]):
-    """How many edges are under doc_id, by halving: a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo).cast("int")
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+            writer.close()
+            out.close()
+            path = f"{base}/shard-{number:06d}.ksst"
+            fs.move(temporary, path)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([writer.documents], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "documents", "tokens"])
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(tree(0, len(edges)))
+    return parts.mapInArrow(frames.task(run, __name__), "shard int, path string, documents long, tokens long")
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
@@ -354,4 +346,4 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                         start += len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return plan.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return plan.mapInArrow(frames.task(run, __name__), "doc_id long, start long, n_tokens long, ids_crc32 long")
