@@ -93,12 +93,32 @@ def joined(rows, n, percent):
     return out
 
 
-@pytest.mark.parametrize("rule", [J.JoinRule(), J.JoinRule(n=4, percent=85, middling=3, frequent=4), J.JoinRule(n=2, percent=50, middling=3, frequent=8, salted=3), J.JoinRule(n=3, percent=60, listed=5, middling=3), J.JoinRule(n=2, percent=75, middling=3, frequent=3, block=2), J.JoinRule(n=3, percent=55, middling=3, block=3, block_bytes=2000)])
+@pytest.mark.parametrize("rule", [J.JoinRule(), J.JoinRule(n=4, percent=85, middling=3, frequent=4), J.JoinRule(n=2, percent=50, middling=3, frequent=8, salted=3), J.JoinRule(n=3, percent=60, listed=5, middling=3), J.JoinRule(n=2, percent=75, middling=3, frequent=3, block=2), J.JoinRule(n=3, percent=55, middling=3, block=3, block_bytes=2000), J.JoinRule(n=3, percent=75, few=1, block=4), J.JoinRule(n=2, percent=60, few=1), J.JoinRule(n=1, percent=55, few=0, block=5, salted=1)])
 def test_join_against_brute_force(docs, rows, rule):
     got = [tuple(r) for r in J.linked(docs, rule=rule).collect()]
     assert sorted(got, key=repr) == sorted(joined(rows, rule.n, rule.percent), key=repr)
 
 
+@pytest.mark.parametrize("few, block", [(0, 7), (1, 4096), (2, 40)])
+def test_large_families_of_near_copies_against_brute_force(spark, monkeypatch, few, block):
+    """Hundreds of copies with changes here and there: many components that share all signatures."""
+    rnd = random.Random(few)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = base[: rnd.choice([40, 60, 60])]
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    near = J._near
+    monkeypatch.setattr(J, "_near", lambda *a: seen.append(near(*a)) or seen[-1])
+    rule = J.JoinRule(n=3, percent=85, few=few, block=block)
+    got = [tuple(r) for r in J.linked(spark.createDataFrame(rows, "doc_id long, text string"), rule=rule).collect()]
+    want = joined(rows, 3, 85)
+    assert sorted(got) == sorted(want) and 5 < len({r[2] for r in want}) < 150
+
+
 def test_join_edges(empty, docs):
     assert J.linked(empty).count() == 0
     assert J.linked(docs.withColumn("node", F.lit("x")).withColumn("sig", F.lit(0))).count() == docs.count()
