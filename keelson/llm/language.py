@@ -85,12 +85,15 @@ def features(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return ((before << np.uint32(16) | own << np.uint32(8) | after) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 20_000) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 20_000, most: int = 500) -> Model:
     """Learn from rows with a text and a language: about `rows_per_language` of each at most, picked by a
     hash of the text. Trigram and script counts are summed on the cluster; the driver gets at most
-    languages x BUCKETS numbers. No usable row gives a model without languages, which answers `und`."""
+    languages x BUCKETS numbers. No usable row gives a model without languages, which answers `und`.
+    More than `most` languages raise, as a task holds a table of each: a column with so many is none of languages."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"{lang} has over {most} values")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     names = sorted(sizes)

@@ -206,7 +206,10 @@ def digests(df: DataFrame, templates: dict[str, str] | None = None, text: str =
 
 
 def without_licenses(df: DataFrame, refused: set[str], templates: dict[str, str] | None = None, text: str = "text", rule: ScanRule = ScanRule()) -> DataFrame:
-    """The rows of df in which no license of `refused` is found."""
-    out = license_spans(df, templates, text, rule, "_licenses")
-    names = F.transform("_licenses", lambda x: x["license"])
-    return out.where(~F.arrays_overlap(names, F.array(*[F.lit(r) for r in sorted(refused)]))).drop("_licenses") if refused else df
+    """The rows of df in which no license of `refused` is found, with all columns of df. Cases as in license_spans()."""
+    if not refused:
+        return df
+    found = "__license_spans"
+    out = license_spans(df, templates, text, rule, found)
+    names = F.transform(found, lambda x: x["license"])
+    return out.where(~F.arrays_overlap(names, F.array(*[F.lit(r) for r in sorted(refused)]))).drop(found)

@@ -95,6 +95,20 @@ def _again(n: int) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_repeat_removal": """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400),
+k AS (SELECT w.r, i, hash(substr(h, i * 2 + 1, 400)) AS a, hash(reverse(substr(h, i * 2 + 1, 400))) AS b FROM w JOIN d USING (r)),
+t AS (SELECT a, b FROM k GROUP BY 1, 2 HAVING count(*) > 1),
+f AS (SELECT r, i FROM k JOIN t USING (a, b)),
+e AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS fresh FROM f),
+g AS (SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS s FROM e),
+s AS (SELECT r, s, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+n AS (SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY 1),
+o AS (SELECT doc_id, h, n_spans, n_removed, list_append(starts, length(h) // 2) AS starts, list_prepend(0, ends) AS ends FROM d LEFT JOIN n USING (r))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(starts) + 1), lambda j: substr(h, ends[j] * 2 + 1, (starts[j] - ends[j]) * 2)), '') END)) AS kept_sha256
+FROM o""",
     "op4_ngram_jaccard": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE_WORD}') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, words[i : i + 3] AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
