@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from keelson.llm import frames
 
 FIELDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-CACHE_BYTES = 96 << 20  # about what words with their ids, and pieces with theirs, may take in a Python worker each
+WORD_BYTES, PIECE_BYTES = 160 << 20, 48 << 20  # about what words, and pieces of words, with their ids may take in a Python worker
 APART = 300_000  # pairs of tokens of which a worker keeps whether they stay apart
 _ENTRY = 220  # bytes of an entry besides its text and ids
 
@@ -165,16 +165,17 @@ class Piece:
 
 
 class Kept:
-    """Ids of texts, for about CACHE_BYTES: once the newer half is full the older one goes, but for what was asked for since."""
+    """Ids of texts, for about `most` bytes: once the newer half is full the older one goes, but for what was asked for since."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0  # bytes of the newer half
 
     def put(self, text: str, ids: bytes) -> None:
         if len(text) <= 64:
-            if self.held > CACHE_BYTES // 2:
+            if self.held > self.most // 2:
                 self.old, self.new, self.held = self.new, {}, 0
             self.new[text] = ids
             self.held += len(text) + len(ids) + _ENTRY
@@ -196,7 +197,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.words, self.pieces = Kept(), Kept()
+        self.words, self.pieces = Kept(WORD_BYTES), Kept(PIECE_BYTES)
 
     def _cut(self, pieces: list[str]) -> bytes:
         known, out = self.pieces, []
