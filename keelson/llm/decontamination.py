@@ -70,6 +70,7 @@ class Shard:
         by = np.argsort(key)
         self.order = live[by]
         held, places = key[by], np.arange(len(live))
+        self.pairs = held  # the first two words of each suffix in order
         reach = 2
         self._rank(rank, self.order, held, places)
         while reach < depth:
@@ -97,22 +98,35 @@ class Shard:
         rank[who] = np.repeat(places[lead] + 1, np.diff(np.append(lead, len(key))))
 
     def search(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For every test suffix: its longest match's words and range in the array, and its window's range."""
+        """For every test suffix: its longest match's words and range in the array, and its window's range.
+        Two words are looked up at once; only suffixes that the shard has two words of go on, a word at a time."""
         m = len(tests.item)
         place = np.arange(m) + tests.item
-        lo, hi = np.zeros(m, np.int64), np.full(m, len(self.order), np.int64)
-        best_lo, best_hi, length = lo.copy(), lo.copy(), np.zeros(m, np.int64)
-        win_lo, win_hi = lo.copy(), lo.copy()
-        live, depth = np.arange(m), 0
-        while len(live) and len(self.order):
+        best_lo, best_hi, length = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        win_lo, win_hi = best_lo.copy(), best_lo.copy()
+        first = tests.symbols[place] << 32
+
+        def note(which: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> None:
+            length[which], best_lo[which], best_hi[which] = depth, low, high
+            there = tests.want[which] == depth
+            win_lo[which[there]], win_hi[which[there]] = low[there], high[there]
+
+        one = np.searchsorted(self.pairs, first), np.searchsorted(self.pairs, first + (1 << 32))
+        live = np.flatnonzero(one[1] > one[0])
+        note(live, one[0][live], one[1][live], 1)
+        live = live[tests.rest[live] > 1]
+        key = first[live] | tests.symbols[place[live] + 1]
+        lo, hi = np.searchsorted(self.pairs, key), np.searchsorted(self.pairs, key, "right")
+        depth = 2
+        while len(live):
+            found = hi > lo
+            live, lo, hi = live[found], lo[found], hi[found]
+            note(live, lo, hi, depth)
+            more = tests.rest[live] > depth
+            live, lo, hi = live[more], lo[more], hi[more]
             want = tests.symbols[place[live] + depth]
-            lo[live], hi[live] = self._bound(lo[live], hi[live], want, depth), self._bound(lo[live], hi[live], want + 1, depth)
-            live = live[hi[live] > lo[live]]
+            lo, hi = self._bound(lo, hi, want, depth), self._bound(lo, hi, want + 1, depth)
             depth += 1
-            length[live], best_lo[live], best_hi[live] = depth, lo[live], hi[live]
-            there = live[tests.want[live] == depth]
-            win_lo[there], win_hi[there] = lo[there], hi[there]
-            live = live[tests.rest[live] > depth]
         return length, best_lo, best_hi, win_lo, win_hi
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, depth: int) -> np.ndarray:
@@ -232,14 +246,15 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """df with `matches`: for each test suffix with a verbatim match of `least` words or more in the document's shard,
-    one entry for each place of the longest match: item, word of the item, word of the document, words matched."""
+    one entry for each place of the longest match: item, word of the item, word of the document, words matched. Cases as
+    in contamination(); a column of df named `matches` is replaced."""
     context = df.sparkSession.sparkContext
     out = frames.without(df, ["matches"])
     lists = []
     for k, rows in enumerate(blocks(benchmark, item_id, item_text, block_bytes)):
         sent = context.broadcast(Tests.build([r[0] for r in rows], [r[1] for r in rows], least))
-        out = frames.append(out, text, {f"_matches{k}": MATCH}, lambda t, sent=sent: [_longest(t, text, sent.value, least)])
-        lists.append(f"_matches{k}")
+        out = frames.append(out, text, {f"{_OWN}matches{k}": MATCH}, lambda t, sent=sent: [_longest(t, text, sent.value, least)])
+        lists.append(f"{_OWN}matches{k}")
     return out.withColumn("matches", F.concat(*lists)).drop(*lists)
 
 
