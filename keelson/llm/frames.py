@@ -19,9 +19,6 @@ from keelson.llm.textvec import sized
 #: Bytes of text that one vectorised call works on; some 20 to 60 times as much memory is used meanwhile.
 CHUNK_BYTES = 2 << 20
 
-#: Where spark.checkpoint.dir is unset, as in tests on one machine.
-UNSHARED = f"file://{tempfile.gettempdir()}/keelson-checkpoints"
-
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
@@ -102,6 +99,28 @@ def trim() -> None:
         release(0)
 
 
+def grouped(df: DataFrame, key: str, tasks: int, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What fn makes of all rows of each value of `key`, numbers from 0 on that `tasks` tasks share evenly: as
+    groupBy().applyInArrow(), but no two of the first `tasks` values meet in a task, as they do by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            values = table.column(key).to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, np.int64)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and held[0].column(key)[0].as_py() != values[low]:
+                    yield from fn(pa.concat_tables(held)).to_batches()
+                    held = []
+                held.append(table.slice(low, high - low))
+        if held:
+            yield from fn(pa.concat_tables(held)).to_batches()
+
+    dealt = df.repartitionById(tasks, F.pmod(F.col(key), F.lit(tasks)).cast("int")).sortWithinPartitions(key)
+    return dealt.mapInArrow(task(run, fn.__module__), schema)
+
+
 def as_array(values, kind: str) -> pa.Array:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
@@ -132,8 +151,13 @@ def bucket_of(doc_id: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or UNSHARED
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, as in tests, a
+    folder of this machine, if all of Spark runs on it; else it raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/keelson-checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

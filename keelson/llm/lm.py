@@ -8,7 +8,9 @@ averaged. Batched matrix products then give normalised log probabilities for eve
 
 Counts of words meet documents without shuffling words one by one: a task turns its stretch of text
 into distinct words with sparse lists of documents, dealt out by the word's hash in packed blocks. Where
-a hash's blocks meet, counts are summed and each document's share is sent back.
+a hash's blocks meet, counts are summed and each document's share is sent back. Of a word that many documents
+of a stretch have, only the count travels: the list stays with the stretch, which is sent the word's sum. So no
+word, however frequent, makes one bucket large.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from keelson.llm import frames, textvec
 FIELDS = {"n_tokens": "long", "lbl": "double", "own_words": "double", "in_class": "double"}
 STRETCH_BYTES = 12 << 20  # text from which a task makes one set of blocks
 BUCKET_BYTES = 16 << 20  # text for each bucket of hashes
+SPREAD = 64  # documents of a stretch from which a word's list stays with the stretch
+TASKS = 20_000  # that buckets or slices are dealt to at most, several each beyond it
 SLICE_BYTES = 16 << 20  # least training text that changes a copy of the model
 ROUNDS = 3  # in which copies are averaged
 RATE = 0.1
@@ -78,7 +82,8 @@ def _split(raw: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _blocks(docs: DataFrame, buckets: int, shape: ModelShape) -> DataFrame:
-    """(bucket, stretch, kind, payload): kind 0 the keys of a stretch's documents, kind 1 its words of a bucket."""
+    """(bucket, stretch, kind, payload): kind 0 the keys of a stretch's documents and its lists of frequent words,
+    kind 1 its words of a bucket, those of frequent words without lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
@@ -93,7 +98,7 @@ def _blocks(docs: DataFrame, buckets: int, shape: ModelShape) -> DataFrame:
             held.clear()
             order = np.argsort(hashes, kind="stable")  # a bucket is a range of hashes; documents stay in order
             bucket = (hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-            hashes, kinds, doc, bucket = hashes[order], kinds[order], doc[order], bucket[order]
+            hashes, kinds, doc, bucket = hashes[order], kinds[order], doc[order], bucket[order].astype(np.int64)
             new_word = np.ones(len(hashes), bool)
             new_word[1:] = hashes[1:] != hashes[:-1]
             new_pair = new_word.copy()
@@ -105,13 +110,18 @@ def _blocks(docs: DataFrame, buckets: int, shape: ModelShape) -> DataFrame:
             np.cumsum(train[doc], out=total[1:])
             trained = total[np.append(word[1:], len(hashes))] - total[word]
             spread = np.diff(np.searchsorted(pair, np.append(word, len(hashes))))
-            edges_w = np.searchsorted(bucket[word], np.arange(buckets + 1))
-            edges_p = np.searchsorted(bucket[pair], np.arange(buckets + 1))
-            rows = [(stretch % buckets, stretch, 0, keys)]
-            for b in range(buckets):
-                w, p = slice(edges_w[b], edges_w[b + 1]), slice(edges_p[b], edges_p[b + 1])
-                if w.start < w.stop:
-                    rows.append((b, stretch, 1, _join(hashes[word][w], trained[w].astype(np.uint32), kinds[word][w], spread[w].astype(np.uint32), doc[pair][p].astype(np.uint32), often[p].astype(np.uint32))))
+            stays = spread > SPREAD
+            of_pair = np.repeat(stays, spread)
+            own = pair[of_pair]
+            rows = [(stretch % buckets, stretch, 0, _join(np.frombuffer(keys, np.uint8), hashes[word][stays], spread[stays].astype(np.uint32), doc[own].astype(np.uint32), often[of_pair].astype(np.uint32)))]
+            pair, often, spread = pair[~of_pair], often[~of_pair], np.where(stays, 0, spread)
+            some = np.unique(bucket[word])
+            edges_w = np.searchsorted(bucket[word], np.append(some, buckets))
+            ends_p = np.append(0, np.cumsum(spread))
+            for k, b in enumerate(some.tolist()):
+                w = slice(edges_w[k], edges_w[k + 1])
+                p = slice(ends_p[w.start], ends_p[w.stop])
+                rows.append((b, stretch, 1, _join(hashes[word][w], trained[w].astype(np.uint32), kinds[word][w], spread[w].astype(np.uint32), doc[pair][p].astype(np.uint32), often[p].astype(np.uint32))))
             names = ["bucket", "stretch", "kind", "payload"]
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 64]], pa.schema([("bucket", pa.int32()), ("stretch", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())]))
@@ -127,7 +137,7 @@ def _blocks(docs: DataFrame, buckets: int, shape: ModelShape) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, stretch long, kind int, payload binary")
+    return docs.mapInArrow(frames.task(run, __name__), "bucket int, stretch long, kind int, payload binary")
 
 
 def least_count(size: int) -> int:
@@ -137,8 +147,9 @@ def least_count(size: int) -> int:
 
 
 def _met(table: pa.Table, shape: ModelShape, least: int) -> pa.Table:
-    """What a bucket gives: kind 0 keys as they came, kind 1 documents' shares of a stretch, kind 2 the
-    bucket's most frequent words and all that occur `least` times, and training tokens and distinct words by ending."""
+    """What a bucket gives: kind 0 as it came, kind 1 documents' shares of a stretch, kind 2 the bucket's most
+    frequent words and all that occur `least` times, and training tokens and distinct words by ending, kind 3
+    the counts of a stretch's frequent words."""
     rows = table.to_pylist()
     blocks = [(r["stretch"], _split(r["payload"], "<u8", "<u4", "u1", "<u4", "<u4", "<u4")) for r in rows if r["kind"] == 1]
     out = [(0, r["stretch"], r["payload"]) for r in rows if r["kind"] == 0]
@@ -152,6 +163,9 @@ def _met(table: pa.Table, shape: ModelShape, least: int) -> pa.Table:
         at = 0
         for stretch, (own, _, _, spread, doc, often) in blocks:
             which = np.repeat(place[at : at + len(own)], spread)
+            stays = spread == 0
+            if stays.any():
+                out.append((3, stretch, _join(own[stays], counts[place[at : at + len(own)][stays]])))
             at += len(own)
             some, near = np.unique(doc, return_inverse=True)
             share = np.bincount(near, gain[which] * often, len(some))
@@ -167,9 +181,17 @@ def _met(table: pa.Table, shape: ModelShape, least: int) -> pa.Table:
 def _shares(table: pa.Table) -> pa.Table:
     """Documents' sums over all buckets: (key, share, known)."""
     rows = sorted(table.to_pylist(), key=lambda r: r["payload"])
-    keys = next(r["payload"] for r in rows if r["kind"] == 0)
+    keys, often, spread, doc, times = _split(next(r["payload"] for r in rows if r["kind"] == 0), "u1", "<u8", "<u4", "<u4", "<u4")
+    keys = keys.tobytes()
     n = len(keys) // 16
-    share, known = np.zeros(n), np.zeros(n, np.int64)
+    counts = np.zeros(len(often), np.int64)
+    for r in rows:
+        if r["kind"] == 3:
+            own, count = _split(r["payload"], "<u8", "<i8")
+            counts[np.searchsorted(often, own)] = count
+    counts = np.repeat(counts, spread)
+    share = np.bincount(doc, np.log10(counts + 1.0) * times, n).astype(np.float64)
+    known = np.bincount(doc, (counts > 0) * times.astype(np.float64), n).astype(np.int64)
     for r in rows:
         if r["kind"] == 1:
             doc, a, b = _split(r["payload"], "<u4", "<f8", "<u4")
@@ -389,8 +411,8 @@ def _trained(docs: DataFrame, classes: Classes, counts: np.ndarray, size_bytes:
         return pa.table({"unit": table.column("unit")[:1], "codes": pa.array([b"".join(c for _, c in rows)], pa.binary())})
 
     coded = frames.append(docs.select("place", "text"), "text", {"codes": "binary"}, code, drop_text=True)
-    coded = coded.withColumn("unit", F.pmod("place", F.lit(slices * rounds))).repartition(slices * rounds, "unit")
-    coded = frames.settled(coded.groupBy("unit").applyInArrow(pack, "unit long, codes binary"), "slices")
+    coded = coded.withColumn("unit", F.pmod("place", F.lit(slices * rounds)))
+    coded = frames.settled(frames.grouped(coded, "unit", min(slices * rounds, TASKS), pack, "unit long, codes binary"), "slices")
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
@@ -404,15 +426,18 @@ def _trained(docs: DataFrame, classes: Classes, counts: np.ndarray, size_bytes:
                     rows = [_join(*(x for n in parts for x in ((parts[n][0][b] * parts[n][1][b][:, None]).ravel(), parts[n][1][b]))) for b in range(blocks)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([unit] * blocks, pa.int64()), pa.array(rows, pa.binary())], names=["block", "unit", "payload"])
 
-        def add(table: pa.Table) -> pa.Table:
+        def add(table: pa.Table, kind: str, by: list[str]) -> pa.Table:
             total: list[np.ndarray] = []
             for _, payload in sorted(zip(table.column("unit").to_pylist(), table.column("payload").to_pylist(), strict=True)):
-                own = _split(payload, *["<f4"] * 8)
+                own = _split(payload, *[kind] * 8)
                 total = [a + b for a, b in zip(total, own, strict=True)] if total else [x.astype(np.float64) for x in own]
-            return pa.table({"block": table.column("block")[:1], "payload": pa.array([_join(*total)], pa.binary())})
+            return pa.table({**{c: table.column(c)[:1] for c in by}, "unit": table.column("unit")[:1], "payload": pa.array([_join(*total)], pa.binary())})
 
-        met = coded.where(F.col("unit") % rounds == k).mapInArrow(learn, "block int, unit long, payload binary")
-        for row in met.groupBy("block").applyInArrow(add, "block int, payload binary").toLocalIterator():
+        # some root of the copies are added first, so that no task reads more than that root of them
+        met = coded.where(F.col("unit") % rounds == k).mapInArrow(frames.task(learn, __name__), "block int, unit long, payload binary")
+        some = met.withColumn("part", (F.floor(F.col("unit") / rounds) % math.isqrt(slices)).cast("int")).groupBy("block", "part").applyInArrow(lambda t: add(t, "<f4", ["block", "part"]), "block int, part int, unit long, payload binary")
+        every = some.groupBy("block").applyInArrow(lambda t: add(t, "<f8", ["block"]), "block int, unit long, payload binary")
+        for row in every.select("block", "payload").toLocalIterator():
             got = _split(row[1], *["<f8"] * 8)
             for i, n in enumerate(model.p):
                 at = np.array_split(np.arange(len(model.p[n])), blocks)[row[0]]
@@ -436,26 +461,27 @@ def scored(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: i
     keyed = docs.select("text", "key", (~F.col("held_out")).cast("int").alias("train"), F.xxhash64("doc_id", "key").alias("place"))
     trained = F.when(~F.col("held_out"), F.octet_length("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.sum(trained), F.sum((~F.col("held_out")).cast("long"))).first()
-    buckets = min(4096, max(1, -(-(size[0] or 0) // BUCKET_BYTES)))
+    buckets = max(1, -(-(size[0] or 0) // BUCKET_BYTES))
     ends, least = size[2] or 0, least_count(size[1] or 0)
 
-    blocks = _blocks(keyed.drop("place"), buckets, shape).repartition(buckets, "bucket")
-    met = blocks.groupBy("bucket").applyInArrow(lambda t: _met(t, shape, least), "kind int, stretch long, payload binary")
+    blocks = _blocks(keyed.drop("place"), buckets, shape)
+    met = frames.grouped(blocks, "bucket", min(buckets, TASKS), lambda t: _met(t, shape, least), "kind int, stretch long, payload binary")
     met = frames.settled(met, "counts")
-    shares = met.where("kind < 2").groupBy("stretch").applyInArrow(_shares, "key binary, share double, known long")
+    shares = met.where("kind <> 2").groupBy("stretch").applyInArrow(_shares, "key binary, share double, known long")
     shares = frames.settled(shares.groupBy("key").agg(F.min("share").alias("share"), F.min("known").alias("known")), "shares")
 
-    # each bucket's frequent words, and tokens and distinct words by ending
-    found, rest, distinct = [], np.zeros(shape.endings, np.int64), np.zeros(shape.endings, np.int64)
+    # each bucket's frequent words, and tokens and distinct words by ending; the most frequent of all are kept
+    hashes, counts, kinds = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    rest, distinct = np.zeros(shape.endings, np.int64), np.zeros(shape.endings, np.int64)
     for row in met.where("kind = 2").select("payload").toLocalIterator():
         h, c, k, n, d = _split(row[0], "<u8", "<i8", "u1", "<i8", "<i8")
-        found.append((h, c, k))
+        hashes, counts, kinds = np.concatenate([hashes, h]), np.concatenate([counts, c]), np.concatenate([kinds, k])
+        top = np.lexsort((hashes, -counts))[: max(shape.words, int((counts >= least).sum()))]
+        hashes, counts, kinds = hashes[top], counts[top], kinds[top]
         rest, distinct = rest + n, distinct + d
     tokens = int(rest.sum())
     vocabulary = int(distinct.sum()) + (ends > 0)
-    hashes, counts, kinds = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate(("u8", "i8", "u1")))
-    top = np.lexsort((hashes, -counts))[: max(shape.words, int((counts >= least).sum()))]
-    top = top[counts[top] > 0]
+    top = np.flatnonzero(counts > 0)
     top = top[np.argsort(hashes[top])]
     rest -= np.bincount(kinds[top], counts[top], shape.endings).astype(np.int64)
     distinct -= np.bincount(kinds[top], minlength=shape.endings)
