@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Edges are first contracted within partitions, where a union-find over one partition's edges turns them
-to stars. Each step is one grouped minimum and one join, both partially aggregated or splittable; no
-component is ever gathered in one task. Every round is written to the shared folder, so lineage stays short.
+Edges are first contracted within tasks, where a union-find over some 2^19 edges turns them to stars. Edges that
+fit one union-find are whole components after it; more go on by steps, until what is left fits one. Each step is
+one grouped minimum and one join, both partially aggregated or splittable; a task never gathers more edges than
+one union-find takes. Every round is written to the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -55,6 +56,14 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _merged(edges: DataFrame) -> DataFrame:
+    """Settled edges, contracted by as few tasks as their number asks for; by one, they are whole components."""
+    tasks = -(-edges.count() // _HELD)
+    out = frames.settled(edges.coalesce(max(tasks, 1)).mapInArrow(frames.task(_contracted, __name__), "u long, v long"), "edges")
+    frames.discard(edges)
+    return out
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -74,7 +83,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edge are left out. No edges give no rows. Raises if `rounds` do not make every component whole.
     """
     own = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
-    edges = frames.settled(own.distinct().mapInArrow(frames.task(_contracted, __name__), "u long, v long"), "edges")
+    edges = _merged(frames.settled(own, "edges"))
     for k in range(rounds + 1):
         # stars whose leaves have one centre each, and whose centres are no leaves, are whole components
         leaves = edges.select("u").distinct()
@@ -83,6 +92,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         if k == rounds:
             raise RuntimeError(f"components are not whole after {rounds} rounds")
-        edges = frames.settled(_star(_star(edges, True), False), "edges")
+        edges = _merged(frames.settled(_star(_star(edges, True), False), "edges"))
     least = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)

@@ -162,3 +162,22 @@ def test_components_raise_when_rounds_run_out(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         C.components(edges, rounds=1)
     assert {tuple(r) for r in C.components(edges).collect()} == {(i, 0) for i in range(21)}
+
+
+def test_components_that_fit_one_union_find_take_no_steps(spark, monkeypatch):
+    """Rounds of shuffles are for edges that one task cannot take, however many partitions the few are dealt to."""
+    from keelson.llm import components as C
+
+    names = random.Random(3).sample(range(10**6), 900)
+    rows = [(a, b) for a, b in zip(names, names[1:], strict=False) if a % 50]
+    edges = spark.createDataFrame(rows, "u long, v long").repartition(40)
+    parent = {a: a for a in names}
+    for _ in names:
+        for a, b in rows:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    want = {a: parent[a] for row in rows for a in row}
+    star, steps = C._star, []
+    monkeypatch.setattr(C, "_star", lambda *a: steps.append(a) or star(*a))
+    assert {r["node"]: r["component"] for r in C.components(edges).collect()} == want and not steps
+    monkeypatch.setattr(C, "_HELD", 60)
+    assert {r["node"]: r["component"] for r in C.components(edges).collect()} == want and steps
